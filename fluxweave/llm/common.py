@@ -51,15 +51,12 @@ def filesystem(uri: str):
 
 def per_batch(df: DataFrame, convert, schema: str) -> DataFrame:
     """mapInArrow with ``convert(RecordBatch) -> dict of columns``; empty batches are skipped."""
-    arrow = None
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
 
-    def run(batches):
-        nonlocal arrow
-        if arrow is None:
-            from pyspark.sql.pandas.types import to_arrow_schema
-            from pyspark.sql.types import _parse_datatype_string
+    arrow = to_arrow_schema(_parse_datatype_string(schema))
 
-            arrow = to_arrow_schema(_parse_datatype_string(schema))
+    def run(batches):
         for batch in batches:
             if batch.num_rows:
                 out = convert(batch)

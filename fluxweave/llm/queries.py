@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fluxweave.llm import bpe
+from fluxweave.llm import bpe, simhash
 from fluxweave.llm.common import table
 
 QUERIES = {}
@@ -32,3 +33,11 @@ def pretoken_pattern() -> str:
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every document; doc_id, n_tokens, ids_sha256, decoded_sha256."""
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), pretoken_pattern())
+
+
+@query
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of 3-word shingles and the components of links within 3 bits."""
+    found = simhash.groups(simhash.fingerprints(table(spark, sf_dir, "documents"), 3, 64), simhash.EXACT_64)
+    pairs = [F.substring(F.hex("fp"), at, 2) for at in range(15, 0, -2)]  # highest byte first
+    return found.select("doc_id", F.lower(F.concat(*pairs)).alias("fingerprint"), "component_id")
