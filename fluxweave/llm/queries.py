@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluxweave.llm import bpe, simhash
+from fluxweave.llm import bpe, simhash, tokenfile
 from fluxweave.llm.common import table
 
 QUERIES = {}
@@ -41,3 +41,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.groups(simhash.fingerprints(table(spark, sf_dir, "documents"), 3, 64), simhash.EXACT_64)
     pairs = [F.substring(F.hex("fp"), at, 2) for at in range(15, 0, -2)]  # highest byte first
     return found.select("doc_id", F.lower(F.concat(*pairs)).alias("fingerprint"), "component_id")
+
+
+@query
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files of every document, written and read back: doc_id, start, n_tokens, ids_crc32."""
+    found = tokenfile.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+    return found.select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
