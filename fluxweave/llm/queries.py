@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluxweave.llm import bpe, simhash, tokenfile
+from fluxweave.llm import bpe, simhash, tokenfile, topk, urlfilter
 from fluxweave.llm.common import table
 
 QUERIES = {}
@@ -48,3 +48,55 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token files of every document, written and read back: doc_id, start, n_tokens, ids_crc32."""
     found = tokenfile.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
     return found.select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five highest inner products of every query vector."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"), 5, 50, 256.0)
+
+
+ORACLES["op3_topk"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND list_count(embedding) = len(embedding)
+    AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, d.vec_id, list_inner_product(q.v, d.v)::BIGINT AS score
+  FROM v q JOIN v d ON q.vec_id % 50 = 0 AND q.vec_id <> d.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+URL_RULES = [urlfilter.Rule("block", "net", "/"), urlfilter.Rule("allow", "example.net", "/en/"), urlfilter.Rule("block", "example.com", "/de/"), urlfilter.Rule("allow", "org", "/fr/")]
+
+
+@query
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page's URL."""
+    return urlfilter.judge(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+def _term_sql(terms) -> str:
+    tests = [f"regexp_matches(u, '(^|[^[:alnum:]]){t}($|[^[:alnum:]])')::INT" for t in terms]
+    return " + ".join(tests)
+
+
+ORACLES["op8_url_filter"] = f"""
+WITH p AS (
+  SELECT page_id, lower(coalesce(url, '')) AS u,
+    CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (
+  SELECT page_id, u, lower(regexp_extract(rest, '^[^/?#]*')) AS host,
+    regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM p),
+r AS (
+  SELECT *, CASE
+    WHEN regexp_matches(host, '(^|[.])example[.]net$') AND starts_with(path, '/en/') THEN 'example.net/en/'
+    WHEN regexp_matches(host, '(^|[.])example[.]com$') AND starts_with(path, '/de/') THEN 'example.com/de/'
+    WHEN regexp_matches(host, '(^|[.])org$') AND starts_with(path, '/fr/') THEN 'org/fr/'
+    WHEN regexp_matches(host, '(^|[.])net$') AND starts_with(path, '/') THEN 'net/' END AS rule,
+    ({_term_sql(urlfilter.STRICT)}) AS strict, ({_term_sql(urlfilter.SOFT)}) AS soft FROM h)
+SELECT page_id, host, path, rule, CASE
+  WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+  WHEN strict > 0 OR soft >= 2 THEN 'block' ELSE 'allow' END AS verdict FROM r
+"""
