@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluxweave.llm import bpe, simhash, tokenfile, topk, urlfilter
+from fluxweave.llm import bpe, secrets, simhash, tokenfile, topk, urlfilter
 from fluxweave.llm.common import table
 
 QUERIES = {}
@@ -100,3 +100,10 @@ SELECT page_id, host, path, rule, CASE
   WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
   WHEN strict > 0 OR soft >= 2 THEN 'block' ELSE 'allow' END AS verdict FROM r
 """
+
+
+@query
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and places of secrets in every document."""
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
