@@ -178,7 +178,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0, id_col:
             name = f"{part:08d}-{seq:06d}-{uuid.uuid4().hex}.dac"
             counts = np.array([len(h) // 4 for h in held], dtype=np.int64)
             data = pack(np.array(ids, dtype=np.int64), counts, np.frombuffer(b"".join(held), "<u4"))
-            with files.open_output_stream(f"{base}/{name}") as sink:
+            with files.open_output_stream(f"{base}/{name}", compression=None) as sink:
                 sink.write(data)
             row = [[part], [seq], [f"{folder}/{name}"], [len(ids)], [int(counts.sum())]]
             kinds = [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()]
