@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluxweave.llm import bpe, secrets, simhash, tokenfile, topk, urlfilter, warc
+from fluxweave.llm import bpe, html, secrets, simhash, tokenfile, topk, urlfilter, warc
 from fluxweave.llm.common import table
 
 QUERIES = {}
@@ -126,3 +126,9 @@ SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
   CASE WHEN top = page_id THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN top <> page_id THEN top END AS refers_to FROM d
 """
+
+
+@query
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html.extract(table(spark, sf_dir, "pages"))
