@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluxweave.llm import bpe, html, secrets, simhash, tokenfile, topk, urlfilter, warc
+from fluxweave.llm import bpe, html, quality, secrets, simhash, tokenfile, topk, urlfilter, warc
 from fluxweave.llm.common import table
 
 QUERIES = {}
@@ -132,3 +132,23 @@ SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
 def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html.extract(table(spark, sf_dir, "pages"))
+
+
+def held_out(doc_id):
+    """Rows that no fitting may see."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def quality_model(spark: SparkSession, sf_dir: str) -> quality.Model:
+    labels = table(spark, sf_dir, "labels")
+    return quality.train(table(spark, sf_dir, "documents"), labels.where(~held_out("doc_id")))
+
+
+QUALITY_LEAST = 0.7
+
+
+@query
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of every document, learnt from three quarters of the labels."""
+    found = quality.score(table(spark, sf_dir, "documents"), quality_model(spark, sf_dir))
+    return found.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= QUALITY_LEAST).cast("int").alias("predicted"))
