@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluxweave.llm import bpe, html, quality, secrets, simhash, tokenfile, topk, urlfilter, warc
+from fluxweave.llm import bpe, decontam, html, quality, secrets, simhash, tokenfile, topk, urlfilter, warc
 from fluxweave.llm.common import table
 
 QUERIES = {}
@@ -152,3 +152,9 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of every document, learnt from three quarters of the labels."""
     found = quality.score(table(spark, sf_dir, "documents"), quality_model(spark, sf_dir))
     return found.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= QUALITY_LEAST).cast("int").alias("predicted"))
+
+
+@query
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold passages of benchmark items, with scores and places."""
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
