@@ -18,7 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fluxweave.llm.common import components, forest, per_batch, staged
@@ -49,6 +49,37 @@ class Index:
 EXACT_64 = Index(64, 3, tuple((16 * i, 16) for i in range(4)))
 
 
+def index_for(documents: int, similarity: float = 0.8, recall: float = 0.99, margin: float = 1.6) -> Index:
+    """An index for texts whose shingle sets have at least this Jaccard similarity.
+
+    Sets of similarity s have cosine 2s / (1 + s), and each bit of their fingerprints differs with chance
+    p = acos(cosine) / pi. A segment's leading bits (one more with each doubling of the documents, seven at least) must
+    agree and its last seven lie in a ball of radius one; there are so many segments that a pair is met with chance
+    ``recall``. Links may differ in p and ``margin`` standard deviations of all bits.
+    """
+    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    ball, lead = 7, max(7, round(np.log2(max(2, documents))) - 12)
+    met = (1 - p) ** lead * ((1 - p) ** ball + ball * p * (1 - p) ** (ball - 1))
+    n = int(np.ceil(np.log(1 - recall) / np.log(1 - met)))
+    bits = -(-n * (lead + ball) // 64) * 64
+    distance = int(bits * (p + margin * np.sqrt(p * (1 - p) / bits)))
+    return Index(bits, distance, tuple((i * (lead + ball), lead + ball) for i in range(n)), ball, inner=False)
+
+
+def deduplicate(docs: DataFrame, similarity: float = 0.8, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of near duplicates: that of the smallest id. All columns stay.
+
+    Rows without an id can't be named and stay. Of rows that share id and text one stays.
+    """
+    index = index_for(docs.count(), similarity)
+    prints = fingerprints(docs.where(F.col(id_col).isNotNull()), size, index.bits, id_col, text_col)
+    keep = groups(prints, index, id_col).where(F.col(id_col) == F.col("component_id")).select(id_col)
+    kept = docs.join(keep, id_col, "left_semi")
+    copy = Window.partitionBy(id_col, F.xxhash64(text_col)).orderBy(id_col)
+    kept = kept.withColumn("__copy", F.row_number().over(copy)).where("__copy = 1").drop("__copy")
+    return kept.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+
+
 def shingles(text: str | None, size: int) -> list[str]:
     words = _WORD.findall((text or "").translate(_LOWER)) if text and not text.islower() else _WORD.findall(text or "")
     if len(words) < size:
