@@ -31,7 +31,6 @@ def kde(x: np.ndarray, points: int) -> tuple[np.ndarray, np.ndarray, float]:
     mesh = np.linspace(lo, hi, n)
     counts = np.bincount(np.minimum(n - 1, ((x - lo) / (span / (n - 1))).astype(int)), minlength=n).astype(np.float64)
     a = dct2(counts / counts.sum())
-    a[0] = 1.0
     k2, a2 = np.arange(1, n, dtype=np.float64) ** 2, (a[1:] / 2) ** 2
     size = len(np.unique(x))
     tol, t = 1e-12 + 0.01 * (min(max(size, 50), 1050) - 50) / 1000, None

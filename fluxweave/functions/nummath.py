@@ -11,7 +11,7 @@ lgamma = np.frompyfunc(math.lgamma, 1, 1)
 
 
 def norm_sf(x) -> np.ndarray:
-    return 0.5 * _erfc(np.asarray(x, dtype=np.float64) / math.sqrt(2)).astype(np.float64)
+    return 0.5 * np.asarray(_erfc(np.asarray(x, dtype=np.float64) / math.sqrt(2)), dtype=np.float64)
 
 
 def norm_cdf(x) -> np.ndarray:

@@ -64,7 +64,7 @@ def mua_to_peak(train: DataFrame, duplicate: int, refractory: int, window: int,
         return units.withColumn("mua_to_peak", F.lit(None).cast("double"))
     bins = max(1, (window - duplicate) // width)
     found = isi_histogram(train, duplicate, width, bins, unit).groupBy(unit).agg(F.max("n").alias("peak"), F.coalesce(F.max(F.when(F.col("bin") == 0, F.col("n"))), F.lit(0)).alias("low"))
-    return units.join(found, unit, "left").select(unit, F.coalesce(F.col("low") / F.col("peak"), F.lit(0.0)).alias("mua_to_peak"))
+    return units.join(found, unit, "left").select(unit, F.coalesce(F.try_divide("low", "peak"), F.lit(0.0)).alias("mua_to_peak"))
 
 
 def bins(train: DataFrame, width: int, unit: str = "unit") -> DataFrame:
@@ -113,7 +113,7 @@ def overlap_ratio(left: DataFrame, right: DataFrame, width: int) -> DataFrame:
 
     both = binned(left, "l").join(binned(right, "r"), "bin", "full_outer")
     n = both.agg(F.count("l").alias("nl"), F.count("r").alias("nr"), F.count_if(F.col("l").isNotNull() & F.col("r").isNotNull()).alias("hits"))
-    return n.select(F.coalesce(F.greatest(F.col("hits") / F.col("nl"), F.col("hits") / F.col("nr")), F.lit(0.0)).alias("overlap_ratio"))
+    return n.select(F.coalesce(F.greatest(F.try_divide("hits", "nl"), F.try_divide("hits", "nr")), F.lit(0.0)).alias("overlap_ratio"))
 
 
 def expected_overlap(left: DataFrame, right: DataFrame, overlap_time: float, fs: float) -> DataFrame:

@@ -86,7 +86,7 @@ def cluster(clips: DataFrame, channels: int, settings: SortSettings) -> DataFram
             main = np.abs(x).argmax(axis=1) // width == channel
             pdf, x = pdf[main].reset_index(drop=True), x[main]
         if len(pdf) < 2:
-            return pd.DataFrame({"seg": [], "channel": [], "unit": [], "sample": [], "clip": []})
+            return pd.DataFrame(columns=["seg", "channel", "unit", "sample", "clip"], dtype=object)
         seed = settings.seed + 1009 * int(key[0]) + channel
         features = lambda c: clustering.pca_features(c, settings.check_components, settings.max_components, seed=seed)
         own = x[:, channel * width : (channel + 1) * width]
@@ -151,7 +151,7 @@ def consolidate(clustered: DataFrame, channels: int, settings: SortSettings, lea
                             again |= bool(rest.min() < 0.25 * energy)
             if not again:
                 kept.append((t, int(n)))
-        return pd.DataFrame({"seg": int(key[0]), "unit": range(len(kept)), "template": [t.ravel() for t, _ in kept], "n": [n for _, n in kept]})
+        return pd.DataFrame({"seg": int(key[0]), "unit": range(len(kept)), "template": pd.Series([t.ravel() for t, _ in kept], dtype=object), "n": [n for _, n in kept]})
 
     return flat.groupBy("seg").applyInPandas(run, "seg int, unit long, template array<double>, n long")
 
@@ -164,11 +164,11 @@ def match(voltage: DataFrame, templates: DataFrame, segments: list[tuple[int, in
     first = F.col("sample") - F.element_at(F.array(*[F.lit(a) for a, _ in segments]), F.col("seg") + 1)
     near = F.array_distinct(F.array(F.floor((first - halo) / BLOCK), F.floor(first / BLOCK), F.floor((first + halo) / BLOCK)))
     blocks = voltage.withColumn("block", F.explode(near)).where("block >= 0")
-    sets = templates.join(blocks.select("seg", "block").distinct(), "seg")
+    sets = templates.join(blocks.select(F.col("seg").alias("seg"), F.col("block").alias("b")).distinct(), "seg").withColumn("block", F.col("b") + 0).drop("b")
 
     def run(key, v: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         if not len(v) or not len(t):
-            return pd.DataFrame({"seg": [], "unit": [], "sample": []})
+            return pd.DataFrame(columns=["seg", "unit", "sample"], dtype=object)
         t = t.sort_values("unit")
         shapes = np.stack([np.asarray(x).reshape(channels, width) for x in t["template"]])
         grid = v.pivot(index="channel", columns="sample", values="v").sort_index()

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fluxweave.operators import probes, signal, trains, units, vectors
-from fluxweave.plans import views
+from fluxweave.functions import clustering, covariance, density
+from fluxweave.operators import filters, probes, signal, trains, units, vectors
+from fluxweave.operators.settings import SortSettings
+from fluxweave.plans import sorter, views
 from fluxweave.plans.views import CHANNELS, WIDTH
 
 QUERIES = {}
@@ -381,7 +385,7 @@ def filter_min_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_UNITS} SELECT unit FROM u WHERE n / duration >= 0.09")
 def filter_min_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return units.filter_least(_units(spark, sf_dir).withColumn("rate", F.col("n") / F.col("duration")), "rate", 0.09).select("unit")
+    return units.filter_least(_units(spark, sf_dir).withColumn("rate", F.try_divide("n", "duration")), "rate", 0.09).select("unit")
 
 
 @query(f"WITH {_UNITS} SELECT unit, round(snr * (1 - coalesce(mua, 0)) * n, 6) AS quality FROM u")
@@ -427,3 +431,107 @@ def neuroviz_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     neurons = g.join(ids, "unit").select("id", F.array("id").alias("channel"), "samples", F.array(F.lit(0.0)).alias("template"), F.array("id").alias("neighbors"), F.lit(1.0).alias("snr"))
     s = F.col("spike_indices")
     return units.viz_export(neurons).select("id", "channel", F.size(s).cast("long").alias("n"), F.element_at(s, 1).alias("first"), F.aggregate(s, F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
+# --- iterative numerics: no SQL twin ----------------------------------------------------------------------------------
+
+
+@query()
+def bandpass_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.bandpass(views.signal(spark, sf_dir), 0.02, 0.3, 1.0)
+
+
+@query()
+def wiener_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = Window.partitionBy("channel").orderBy("sample")
+    s = views.signal(spark, sf_dir).withColumn("signal", signal.moving_average(order, 3)).withColumn("seg", F.lit(0))
+    return filters.wiener(s, 2)
+
+
+@query()
+def whitened_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = views.signal(spark, sf_dir)
+    weights = filters.zca_weights(signal.noise_products(signal.noise_mask(s, _thr(spark, sf_dir), 2)))
+    return signal.apply_mixing(s, F.broadcast(weights))
+
+
+@query()
+def iso_cut_by_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(channel, p, cut) of each channel's values."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        p, cut = density.iso_cut(pdf["v"].to_numpy(), 0.01)
+        return pd.DataFrame({"channel": pdf["channel"].iloc[:1], "p": [p], "cut": pd.Series([cut], dtype="float64")})
+
+    return views.signal(spark, sf_dir).groupBy("channel").applyInPandas(run, "channel string, p double, cut double")
+
+
+@query()
+def merge_clusters_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(unit, event, cluster): each unit's clips clustered on their own principal components."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("event").reset_index(drop=True)
+        scores = clustering.pca_features(np.stack(pdf["clip"].to_list()), 20, 3)
+        labels = clustering.merge_clusters(scores, clustering.seed_farthest(scores, 10, n_random=5), 0.01)
+        return pd.DataFrame({"unit": pdf["unit"], "event": pdf["event"], "cluster": clustering.dense(labels)})
+
+    return views.clips(spark, sf_dir).groupBy("unit").applyInPandas(run, "unit long, event long, cluster long")
+
+
+@query()
+def binary_pursuit_spikes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(seg, unit, sample): templates of the clip view matched to the signal view."""
+    s = views.signal(spark, sf_dir)
+    names = s.select("channel").distinct().withColumn("c", F.row_number().over(Window.orderBy("channel")) - 1)
+    v = s.join(names, "channel").where(F.col("c") < CHANNELS).select(F.lit(0).alias("seg"), F.col("c").alias("channel"), "sample", (F.col("v") / 100).alias("v"))
+    t = vectors.mean_template(views.clips(spark, sf_dir)).select(F.lit(0).alias("seg"), "unit", "template")
+    return sorter.match(v, t, [(0, 1 << 40)], CHANNELS, WIDTH, SortSettings(sigma_noise=0.5))
+
+
+@query()
+def robust_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(channel, i, j, cov): minimum covariance determinant of each channel's clips."""
+    rows = views.clips(spark, sf_dir).withColumn("channel", F.explode(F.sequence(F.lit(0), F.lit(CHANNELS - 1))))
+    rows = rows.select("channel", "event", vectors.channel_slice(F.col("clip"), F.col("channel"), WIDTH).alias("x"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        _, cov, _ = covariance.min_cov_det(np.stack(pdf.sort_values("event")["x"].to_list()), support=1.0, centred=True)
+        i, j = np.indices(cov.shape)
+        return pd.DataFrame({"channel": pdf["channel"].iloc[0], "i": i.ravel(), "j": j.ravel(), "cov": cov.ravel()})
+
+    return rows.groupBy("channel").applyInPandas(run, "channel int, i int, j int, cov double")
+
+
+@query()
+def template_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.contamination(vectors.separability(_stats(spark, sf_dir), 1.0, None))
+
+
+@query()
+def useful_noise_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = vectors.separability(_stats(spark, sf_dir), 1.0, None)
+    return vectors.keep_useful_noise(stats, vectors.mean_template(views.clips(spark, sf_dir)), 1.0, CHANNELS, WIDTH).select("unit", "noisy")
+
+
+@query()
+def overlap_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(seg, unit_1, unit_2): greedy links by shared bins between halves of each unit's train."""
+    b = trains.bins(views.train(spark, sf_dir), 3600).withColumn("seg", F.lit(0))
+    x, y = b.select("seg", F.col("unit").alias("u1"), "bin"), b.select("seg", F.col("unit").alias("u2"), "bin")
+    ids = b.select("unit").distinct().withColumn("id", (F.row_number().over(Window.orderBy("unit")) - 1).cast("long"))
+    n = b.groupBy("unit").agg(F.count("*").alias("n"))
+    hits = x.join(y, ["seg", "bin"]).where("u1 <> u2").groupBy("seg", "u1", "u2").agg(F.count("*").alias("hits"))
+    ratio = hits.join(n.withColumnRenamed("unit", "u1"), "u1").select("seg", "u1", "u2", (F.col("hits") / F.col("n")).alias("ratio"))
+    ratio = ratio.join(ids.select(F.col("unit").alias("u1"), F.col("id").alias("unit_1")), "u1").join(ids.select(F.col("unit").alias("u2"), F.col("id").alias("unit_2")), "u2")
+    return units.overlap_links(ratio.select("seg", "unit_1", "unit_2", "ratio"), 0.1)
+
+
+@query()
+def redundant_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(seg, unit) of users whose events coincide with a cleaner user's beyond chance."""
+    u = _units(spark, sf_dir).where("unit < 30").select(F.lit(0).alias("seg"), "unit", F.coalesce("mua", F.lit(float("nan"))).alias("mua"), "snr", "n")
+    c = trains.pair_correlograms(views.train(spark, sf_dir, "user_id").where("unit < 30"), 3, 7200).where("unit_1 < unit_2")
+    pairs = c.groupBy("unit_1", "unit_2").agg(F.max(F.when(F.col("lag") == 0, F.col("n"))).alias("ratio"), (F.max("n") - F.min("n")).cast("double").alias("delta_max"))
+    pairs = pairs.where("ratio is not null").select(F.lit(0).alias("seg"), "unit_1", "unit_2", F.col("ratio").cast("double").alias("ratio"), "delta_max", F.lit(float("nan")).alias("union_mua"))
+    return units.drop_redundant(u, pairs)
