@@ -49,12 +49,25 @@ def _best_pair(v: np.ndarray, templates: np.ndarray, unit: int, at: int, reach:
     return best
 
 
+def cross_products(templates: np.ndarray) -> np.ndarray:
+    """X[u, w, d + W - 1] = <T_w, T_u moved by -d>: what subtracting u at t takes from the inner product of w at t + d."""
+    units, channels, width = templates.shape
+    size = 1 << int(np.ceil(np.log2(2 * width)))
+    spectrum = np.fft.rfft(templates, size, axis=2)
+    out = np.empty((units, units, 2 * width - 1))
+    for u in range(units):
+        full = np.fft.irfft((spectrum[u][None] * np.conj(spectrum)).sum(axis=1), size, axis=1)
+        out[u] = np.concatenate([full[:, -(width - 1) :], full[:, :width]], axis=1) if width > 1 else full[:, :1]
+    return out
+
+
 def pursue(v: np.ndarray, templates: np.ndarray, thresholds: np.ndarray, overlap_reach: int = 0, most_passes: int = 1000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(units, starts, residual): events added window by window until none passes its threshold.
 
     A pass looks at windows as long as a template; the best event of a window is added if it starts inside it and beats
     those of the windows beside it that reach into it, and its template is subtracted. With ``overlap_reach`` the best
-    event is first weighed against sums of two templates, of which the likelier one is added.
+    event is first weighed against sums of two templates, of which the likelier one is added. Subtracting changes the
+    likelihoods nearby by known inner products of templates, and only windows nearby are looked at again.
     """
     units, _, width = templates.shape
     residual = v.astype(np.float64).copy()
@@ -63,38 +76,42 @@ def pursue(v: np.ndarray, templates: np.ndarray, thresholds: np.ndarray, overlap
     found_starts: list[int] = []
     if n <= width or not units:
         return np.empty(0, np.int64), np.empty(0, np.int64), residual
-    windows = -(-(n - width) // width)
-    value = likelihoods(residual, templates)
-    active = np.ones(windows, dtype=bool)
+    last = n - width
+    windows = -(-last // width)
+    value = np.zeros((units, windows * width))
+    value[:, :last] = likelihoods(residual, templates)[:, :last]
+    by_window = value.reshape(units, windows, width)
+    bar = np.maximum(0, thresholds)[:, None, None]
+    cross = cross_products(templates)
+    top, place, best_unit = np.zeros(windows), np.zeros(windows, dtype=np.int64), np.zeros(windows, dtype=np.int64)
+    active = np.arange(windows)
     for _ in range(most_passes):
-        over = np.where(value > np.maximum(0, thresholds)[:, None], value, 0.0)[:, : n - width]
-        over = np.pad(over, ((0, 0), (0, windows * width - over.shape[1])))
-        by_time, unit_at = over.max(axis=0), over.argmax(axis=0)
-        peaks = by_time.reshape(windows, width)
-        top, place = peaks.max(axis=1), peaks.argmax(axis=1)
+        part = by_window[:, active, :]
+        part = np.where(part > bar, part, 0.0)
+        over = part.max(axis=0)
+        place[active] = over.argmax(axis=1)
+        top[active] = over.max(axis=1)
+        best_unit[active] = part[:, np.arange(len(active)), place[active]].argmax(axis=0)
         beside = np.maximum(np.concatenate([[0], top[:-1]]), np.concatenate([top[1:], [0]]))
-        chosen = np.flatnonzero(active & (top > 0) & (top >= beside))
-        chosen = chosen[np.concatenate([[True], np.diff(chosen) > 1])] if len(chosen) else chosen
+        chosen = active[(top[active] > 0) & (top[active] >= beside[active])]
+        if len(chosen):
+            chosen = chosen[np.concatenate([[True], np.diff(chosen) > 1])]
         if not len(chosen):
             break
-        touched = np.zeros(windows, dtype=bool)
         for w in chosen.tolist():
-            start = w * width + int(place[w])
-            unit = int(unit_at[start])
+            start, unit = w * width + int(place[w]), int(best_unit[w])
             if overlap_reach:
                 gain, one, two = _best_pair(residual, templates, unit, start, overlap_reach)
                 if gain > value[unit, start]:
-                    unit, start = max((one, two), key=lambda x: value[x[0], x[1]] if x[1] < n - width else -np.inf)
-                    if value[unit, start] <= thresholds[unit]:
-                        unit, start = int(unit_at[w * width + int(place[w])]), w * width + int(place[w])
+                    other, at = max((one, two), key=lambda x: value[x[0], x[1]] if x[1] < last else -np.inf)
+                    if value[other, at] > thresholds[other]:
+                        unit, start = other, int(at)
             residual[:, start : start + width] -= templates[unit]
             found_units.append(unit)
             found_starts.append(start)
-            lo, hi = max(0, start - width + 1), min(n, start + 2 * width)
-            fresh = likelihoods(residual[:, lo:hi], templates)
-            stop = min(start + width, n - width)
-            value[:, lo:stop] = fresh[:, : stop - lo]
-            touched[max(0, w - 2) : w + 3] = True
-        active = touched
+            lo, hi = max(0, start - width + 1), min(last, start + width)
+            value[:, lo:hi] -= cross[unit][:, lo - start + width - 1 : hi - start + width - 1]
+        near = np.unique(chosen[:, None] + np.arange(-2, 3)[None, :])
+        active = near[(near >= 0) & (near < windows)]
     order = np.lexsort((found_units, found_starts))
     return np.array(found_units, dtype=np.int64)[order], np.array(found_starts, dtype=np.int64)[order], residual

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Fixed value: the median of |x| of a standard normal variable.
 MAD = 0.6745
+#: Samples of a block when something is looked for along the whole recording.
+SCAN = 1 << 16
 
 
 def time_window_samples(window: tuple[float, float], fs: float) -> tuple[int, int]:
@@ -73,7 +75,12 @@ def blank_artifacts(voltage: DataFrame, thr: DataFrame, cushion: tuple[int, int]
     least = F.greatest(F.lit(1), F.ceil(channels * F.col("__all"))) if channels <= 1 else F.lit(int(channels))
     over = voltage.join(thr.select("channel", "threshold"), "channel").groupBy("sample").agg(F.count_if(F.abs("v") > F.col("threshold")).alias("n"))
     calm = over.crossJoin(F.broadcast(total)).withColumn("__calm", F.when(F.col("n") < least, F.col("sample")))
-    ends = calm.withColumn("__end", F.min("__calm").over(Window.orderBy("sample").rowsBetween(0, Window.unboundedFollowing)))
+    # The next calm sample: within blocks of samples first, then over the blocks, of which there are few.
+    calm = calm.withColumn("__block", F.floor(F.col("sample") / SCAN))
+    later = Window.orderBy("__block").rowsBetween(1, Window.unboundedFollowing)
+    beyond = calm.groupBy("__block").agg(F.min("__calm").alias("__first")).withColumn("__beyond", F.min("__first").over(later)).select("__block", "__beyond")
+    inside = Window.partitionBy("__block").orderBy("sample").rowsBetween(0, Window.unboundedFollowing)
+    ends = calm.withColumn("__inside", F.min("__calm").over(inside)).join(beyond, "__block").withColumn("__end", F.coalesce("__inside", "__beyond"))
     starts = artifact_samples(voltage, thr, tolerance, channels).select("sample")
     spans = ends.join(starts, "sample").select((F.col("sample") - cushion[0]).alias("s"), (F.coalesce("__end", "sample") + cushion[1]).alias("e"))
     blank = spans.select(F.explode(F.sequence("s", "e")).alias("sample")).distinct().withColumn("__blank", F.lit(True))

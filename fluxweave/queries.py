@@ -484,7 +484,7 @@ def binary_pursuit_spikes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(seg, unit, sample): templates of the clip view matched to the signal view."""
     s = views.signal(spark, sf_dir)
     names = s.select("channel").distinct().withColumn("c", F.row_number().over(Window.orderBy("channel")) - 1)
-    v = s.join(names, "channel").where(F.col("c") < CHANNELS).select(F.lit(0).alias("seg"), F.col("c").alias("channel"), "sample", (F.col("v") / 100).alias("v"))
+    v = s.join(names, "channel").where(F.col("c") < CHANNELS).select(F.lit(0).alias("seg"), F.col("c").alias("channel"), "sample", ((F.col("v") - 35) / 1000).alias("v"))
     t = vectors.mean_template(views.clips(spark, sf_dir)).select(F.lit(0).alias("seg"), "unit", "template")
     return sorter.match(v, t, [(0, 1 << 40)], CHANNELS, WIDTH, SortSettings(sigma_noise=0.5))
 
