@@ -43,6 +43,8 @@ _NAMES = frozenset(
     "sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login "
     "comment comments disqus respond replies reply share sharing social related recommended widget pagination pager search form toolbar copyright skip".split()
 )
+#: Names that say nothing against an element inside an article (its own heading, picture or index).
+_FINE_INSIDE = frozenset("header masthead banner topbar menu search skip overlay".split())
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "tbody": ("tr", "td", "th", "thead", "tbody"), "option": ("option",)}
 _WALLS = frozenset("ul ol dl table tbody article section div main body td th".split())
 
@@ -85,7 +87,8 @@ def _unwanted(tag: str, attrs: str, inside: bool) -> tuple[bool, str]:
         return False, name
     if tag == "article":
         return "comment" in words or "comments" in words, name
-    return not _NAMES.isdisjoint(words), name
+    names = _NAMES.intersection(words)
+    return bool(names - _FINE_INSIDE if inside else names), name
 
 
 class Page:

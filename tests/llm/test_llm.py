@@ -162,6 +162,7 @@ def page(text):
         ("<article><p>a</p><article class=comment>c</article></article>", "a"),
         ("<p hidden>h</p><div role=navigation>n</div><div aria-hidden='true'>z</div>y", "y"),
         ("<p>open <b>never closed", "open never closed"),
+        ("<article><div class='article-header'><h1>T</h1></div><div class='ad-box'>x</div><p>p</p></article>", "T p"),
         ("</p></div>stray<table><tr><td>1<td>2<tr><td>3</table>", "stray 1 2 3"),
     ],
 )
