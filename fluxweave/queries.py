@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fluxweave.functions import clustering, covariance, density
-from fluxweave.operators import filters, probes, signal, trains, units, vectors
+from fluxweave.operators import alignment, filters, neurons, probes, signal, trains, units, vectors
 from fluxweave.operators.settings import SortSettings
 from fluxweave.plans import sorter, views
 from fluxweave.plans.views import CHANNELS, WIDTH
@@ -428,9 +428,9 @@ def unit_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
 def neuroviz_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = views.train(spark, sf_dir).groupBy("unit").agg(F.array_sort(F.collect_list("idx")).alias("samples"))
     ids = g.select("unit").withColumn("id", (F.row_number().over(Window.orderBy("unit")) - 1).cast("int"))
-    neurons = g.join(ids, "unit").select("id", F.array("id").alias("channel"), "samples", F.array(F.lit(0.0)).alias("template"), F.array("id").alias("neighbors"), F.lit(1.0).alias("snr"))
+    rows = g.join(ids, "unit").select("id", F.array("id").alias("channel"), "samples", F.array(F.lit(0.0)).alias("template"), F.array("id").alias("neighbors"), F.lit(1.0).alias("snr"))
     s = F.col("spike_indices")
-    return units.viz_export(neurons).select("id", "channel", F.size(s).cast("long").alias("n"), F.element_at(s, 1).alias("first"), F.aggregate(s, F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+    return units.viz_export(rows).select("id", "channel", F.size(s).cast("long").alias("n"), F.element_at(s, 1).alias("first"), F.aggregate(s, F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
 
 
 # --- iterative numerics: no SQL twin ----------------------------------------------------------------------------------
@@ -535,3 +535,50 @@ def redundant_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = c.groupBy("unit_1", "unit_2").agg(F.max(F.when(F.col("lag") == 0, F.col("n"))).alias("ratio"), (F.max("n") - F.min("n")).cast("double").alias("delta_max"))
     pairs = pairs.where("ratio is not null").select(F.lit(0).alias("seg"), "unit_1", "unit_2", F.col("ratio").cast("double").alias("ratio"), "delta_max", F.lit(float("nan")).alias("union_mua"))
     return units.drop_redundant(u, pairs)
+
+
+@query(f"WITH {_CLIP}, {_MEAN} SELECT unit, (list_position(list_transform(template, lambda x: abs(x)), list_max(list_transform(template, lambda x: abs(x)))) - 1 - 20)::INTEGER AS shift FROM tm")
+def centre_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.centre_templates(vectors.mean_template(views.clips(spark, sf_dir)), 20)
+
+
+@query(f"WITH {_CLIP}, {_MEAN}, k AS (SELECT unit, list_slice(template, 9, 56) AS t FROM tm), x AS (SELECT event, c.unit, s, list_sum(list_transform(range(1, 49), lambda i: clip[(i + s)::INT] * t[i::INT])) AS score FROM c JOIN k USING (unit), (SELECT unnest(range(17)) AS s)) SELECT event, (event * 100 + arg_max(s, (round(score, 9), -s)) - 8)::BIGINT AS sample FROM x GROUP BY 1")
+def align_events_with_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clips = views.clips(spark, sf_dir)
+    t = vectors.mean_template(clips).select("unit", F.slice("template", 9, 48).alias("template"))
+    rows = clips.select("unit", "event", (F.col("event") * 100).alias("sample"), F.col("clip").alias("wide"))
+    return alignment.align_to_template(rows, t).select("event", F.col("sample").cast("long").alias("sample"))
+
+
+_SEGS = "u AS (SELECT DISTINCT (event_id // 2000)::INTEGER AS seg, event_type AS channel, user_id AS label, (event_id // 2000) * 100000 + user_id * 10 + length(event_type) AS unit FROM events WHERE user_id < 50)"
+
+
+def _segs(spark, sf):
+    seg = F.floor(F.col("event_id") / 2000).cast("int")
+    e = views.table(spark, sf, "events").where("user_id < 50")
+    return e.select(seg.alias("seg"), F.col("event_type").alias("channel"), F.col("user_id").alias("label"), (seg * 100000 + F.col("user_id") * 10 + F.length("event_type")).alias("unit")).distinct()
+
+
+@query(f"WITH {_SEGS} SELECT a.seg, a.unit AS unit_1, b.unit AS unit_2 FROM u a JOIN u b ON b.seg = a.seg + 1 AND a.channel = b.channel AND a.label = b.label")
+def label_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neurons.link_by_label(_segs(spark, sf_dir))
+
+
+@query(f"WITH {_SEGS}, r AS (SELECT seg, unit, 0 AS root_seg, label AS root_unit FROM u) SELECT seg, unit, root_seg, root_unit FROM r QUALIFY count(*) OVER (PARTITION BY root_seg, root_unit) >= 9")
+def chains_seen_often(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = _segs(spark, sf_dir).select("seg", "unit", F.lit(0).alias("root_seg"), F.col("label").alias("root_unit"))
+    return neurons.keep_seen_often(r, 9)
+
+
+@query()
+def pairwise_separability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = vectors.separability(_stats(spark, sf_dir), 1.0, None)
+    confusion = neurons.pairwise_confusion(stats, vectors.mean_template(views.clips(spark, sf_dir)), CHANNELS, WIDTH)
+    return neurons.separability_matrix(confusion)
+
+
+@query()
+def wavelet_aligned_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = views.signal(spark, sf_dir)
+    clips = signal.clips(s, signal.crossings(s, _thr(spark, sf_dir)), 10, 11)
+    return alignment.wavelet_align(clips, 1.0, (0.02, 0.3), 10)
