@@ -223,9 +223,8 @@ def low_nodes(parsed: DataFrame) -> DataFrame:
     per_page = parsed.select("host", F.explode(F.array_distinct(F.transform("blocks", lambda b: F.struct(b["path"].alias("path"), b["parent"].alias("parent"), b["print"].alias("print"))))).alias("b")).select("host", "b.*")
     texts = per_page.groupBy("host", "path", "parent", "print").agg(F.count("*").alias("n"))
     stands = parsed.select("host", F.explode(F.array_distinct(F.transform("blocks", lambda b: b["path"]))).alias("path")).groupBy("host", "path").agg(F.count("*").alias("pages"))
-    content = texts.join(stands.where(F.col("pages") >= LEAST_PAGES), ["host", "path"]).groupBy("host", "path", "parent", "pages").agg(
-        (1 - F.avg(F.log("n") / F.log("pages"))).alias("content")
-    )
+    logs = texts.groupBy("host", "path", "parent").agg(F.avg(F.log("n")).alias("logs"))
+    content = logs.join(stands.where(F.col("pages") >= LEAST_PAGES), ["host", "path"]).withColumn("content", 1 - F.col("logs") / F.log("pages"))
     shapes = parsed.select("host", F.explode("styles").alias("s")).groupBy("host", F.col("s.path").alias("parent"), F.col("s.print").alias("print")).agg(F.count("*").alias("n"))
     total = shapes.groupBy("host", "parent").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("nlogn"))
     look = total.where("m > 1").select("host", "parent", ((F.log("m") - F.col("nlogn") / F.col("m")) / F.log("m")).alias("look"))
