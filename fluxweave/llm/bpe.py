@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from fluxweave.llm.common import per_batch
 
 #: Entries after which a memo table starts afresh; bounds memory, not results.
-MEMO = 800_000
+MEMO = 250_000
 _ODD_SPACE = re.compile(r"[^\S \n]")
 
 
@@ -107,7 +107,7 @@ class Codec:
                 r = rank(x + y)
                 if r is not None and r < x_until and r <= y_until and x_made < y_until and y_made < x_until:
                     known = False
-        if len(self.compatible) > 2 * MEMO:
+        if len(self.compatible) > MEMO:
             self.compatible.clear()
         self.compatible[(left << 32) | right] = known
         return known
