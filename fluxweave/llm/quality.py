@@ -24,6 +24,10 @@ from fluxweave.llm.common import per_batch
 
 PASSAGE = 512
 BUCKETS = 512
+FEATURES = BUCKETS + 2
+#: Bytes added to a passage's length, so that a few words aren't taken for a whole style; lags at which it may repeat.
+DAMPING = 48
+LAGS = 20
 HIDDEN, GATE = 24, 12
 SAMPLE, PASSAGES = 6000, 32
 #: Passages encoded at once.
@@ -31,14 +35,26 @@ BLOCK = 4096
 
 
 def passages(text: str | None) -> np.ndarray:
-    """Feature rows of all passages of a text, float32."""
-    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8).astype(np.int64)
+    """Feature rows of all passages of a text, float32: square roots of byte-pair shares, damped where a passage is
+    short; the number of distinct pairs for the length; and how much of the passage repeats at its best lag."""
+    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8).astype(np.int32)
     n = max(1, -(-len(raw) // PASSAGE))
+    out = np.zeros((n, FEATURES), np.float32)
     if len(raw) < 2:
-        return np.zeros((n, BUCKETS), np.float32)
+        return out
     pair = ((raw[:-1] * 40503 + raw[1:] * 30011) >> 3) % BUCKETS
-    counts = np.bincount(np.arange(len(pair)) // PASSAGE * BUCKETS + pair, minlength=n * BUCKETS).reshape(n, BUCKETS)
-    return np.sqrt(counts / np.maximum(1, counts.sum(axis=1, keepdims=True))).astype(np.float32)
+    place = np.arange(len(raw)) // PASSAGE
+    counts = np.bincount(place[:-1] * BUCKETS + pair, minlength=n * BUCKETS).reshape(n, BUCKETS)
+    total = counts.sum(axis=1)
+    out[:, :BUCKETS] = np.sqrt(counts / (total + DAMPING)[:, None])
+    size = np.bincount(place, minlength=n)
+    out[:, BUCKETS] = np.count_nonzero(counts, axis=1) / np.sqrt(total + 1) / 8
+    best = np.zeros(n)
+    for lag in range(3, LAGS):
+        if len(raw) > lag:
+            np.maximum(best, np.bincount(place[lag:][raw[lag:] == raw[:-lag]], minlength=n), out=best)
+    out[:, BUCKETS + 1] = 2 * best / (size + DAMPING)
+    return out
 
 
 @dataclass
@@ -84,7 +100,7 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, epochs: int = 30, rate: floa
         return Model({}, 1.0 if not len(labels) else float(labels[0]))
     rng = np.random.default_rng(seed)
     w = {
-        "W": rng.normal(0, 1.0, (BUCKETS, HIDDEN)) / np.sqrt(HIDDEN),
+        "W": rng.normal(0, 1.0, (FEATURES, HIDDEN)) / np.sqrt(HIDDEN),
         "b": np.zeros(HIDDEN),
         "V": rng.normal(0, 0.3, (HIDDEN, GATE)),
         "U": rng.normal(0, 0.3, (HIDDEN, GATE)),
@@ -134,7 +150,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, limit: int =
         return {"id": batch.column(0), "label": batch.column(2), "x": features}
 
     found = sorted((r.id, r.label, bytes(r.x)) for r in per_batch(rows, convert, "id long, label int, x binary").orderBy(F.xxhash64("id")).limit(sample).collect())
-    return fit([np.frombuffer(x, np.float16).reshape(-1, BUCKETS) for _, _, x in found], np.array([y for _, y, _ in found], dtype=np.float64))
+    return fit([np.frombuffer(x, np.float16).reshape(-1, FEATURES) for _, _, x in found], np.array([y for _, y, _ in found], dtype=np.float64))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -321,7 +321,7 @@ def test_quality_on_held_out_rows(spark):
 
 def test_quality_gradients_and_streamed_score():
     rng = np.random.default_rng(7)
-    bags = [rng.random((n, quality.BUCKETS)).astype(np.float32) for n in (1, 3, 5, 2)]
+    bags = [rng.random((n, quality.FEATURES)).astype(np.float32) for n in (1, 3, 5, 2)]
     model = quality.fit(bags, np.array([1.0, 0, 1, 0]), epochs=1)
     text = "".join(rng.choice(list("abc XYZ"), 6000))
     x = quality.passages(text)
