@@ -232,10 +232,11 @@ def groups(prints: DataFrame, index: Index, id_col: str = "doc_id") -> DataFrame
     """(id_col, fp, component_id): component_id is the smallest id reachable over links, itself included.
 
     Rows with equal fingerprints become one node, named by their smallest id (partially aggregated, so a fingerprint
-    that very many rows share is no burden). Ids must not be null.
+    that very many rows share is no burden). A row without an id has the component of its fingerprint, null if no row
+    with that fingerprint has an id.
     """
     prints = staged(prints, "prints")
     nodes = staged(prints.groupBy("fp").agg(F.min(id_col).alias("node")), "nodes")
-    found = components(links(nodes, index))  # node -> smallest node, which is the smallest id of the component
+    found = components(links(nodes.where(F.col("node").isNotNull()), index))  # node -> smallest node, which is the smallest id of the component
     named = nodes.join(found, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
     return prints.join(named, "fp").select(id_col, "fp", "component_id")

@@ -252,6 +252,8 @@ def test_fingerprints_and_components(spark):
     for i in range(len(texts)):
         assert int.from_bytes(found[i][0], "little") == prints[i] and found[i][1] == component[i]
     assert simhash.groups(simhash.fingerprints(frame.limit(0)), simhash.EXACT_64).count() == 0
+    lone = spark.createDataFrame([(None, "x y z"), (None, "p q r"), (7, "p q r")], "doc_id long, text string")
+    assert sorted(rows(simhash.groups(simhash.fingerprints(lone), simhash.EXACT_64), "doc_id", "component_id"), key=str) == [(7, 7), (None, 7), (None, None)]
 
 
 def test_links_of_crowded_fingerprints_equal_brute_force(spark):
