@@ -29,6 +29,8 @@ from fluxweave.llm.common import staged
 LEAST_PAGES = 8
 LOW = 0.2
 CONTENT_WEIGHT = 0.9
+#: Hosts and nodes that may be broadcast, at about 50 bytes each; shares of a host's pages where there are more.
+SMALL, SALTS = 200_000, 64
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>|<[!?/][^>]*+>", re.S)
 _ATTR = re.compile(r"(class|id|role|hidden|aria-hidden)(?=[\s=>/]|\Z)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -234,10 +236,20 @@ def low_nodes(parsed: DataFrame) -> DataFrame:
     return by_host.where((F.col("best") >= 0.5) & (F.size("low") > 0)).select("host", "low")
 
 
+def with_low_nodes(parsed: DataFrame, low: DataFrame, small: int = SMALL, salts: int = SALTS) -> DataFrame:
+    """``parsed`` with its host's low nodes. A list of at most ``small`` nodes in all, counted first, goes to every
+    executor and no text moves; a longer one meets the pages by host and salt, so that a host's pages are spread."""
+    hosts, nodes = low.agg(F.count("*"), F.coalesce(F.sum(F.size("low")), F.lit(0))).first()
+    if hosts + nodes <= small:
+        return parsed.join(F.broadcast(low), "host", "left")
+    spread = low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return parsed.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int")).join(spread, ["host", "salt"], "left")
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) of every row."""
     parsed = staged(parse(pages, id_col, url_col, html_col), "pages")
-    joined = parsed.join(low_nodes(parsed), "host", "left")
+    joined = with_low_nodes(parsed, staged(low_nodes(parsed), "nodes"))
     kept = F.when(F.col("low").isNull(), F.col("blocks")).otherwise(F.filter("blocks", lambda b: ~F.array_contains("low", b["path"])))
     text = F.array_join(F.transform(kept, lambda b: b["text"]), " ")
     return joined.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))

@@ -183,6 +183,10 @@ def test_site_tree_removes_what_a_host_repeats(spark):
     assert all(by[100 + i] == "Always the same words" for i in range(20))
     assert by[200] == "" and by[201] == "ok" and all(n == len(t) for _, t, n in got)
     assert html.extract(frame.limit(0)).count() == 0
+    parsed = common.staged(html.parse(frame), "pages")
+    low = html.low_nodes(parsed)
+    both = [sorted(rows(html.with_low_nodes(parsed, low, small), "page_id", "low"), key=str) for small in (0, 10)]
+    assert both[0] == both[1] and len(both[0]) == len(data)
 
 
 # --- 5: WARC -----------------------------------------------------------------------------------------------------------
