@@ -69,10 +69,11 @@ def index_for(documents: int, similarity: float = 0.8, recall: float = 0.99, mar
 def deduplicate(docs: DataFrame, similarity: float = 0.8, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group of near duplicates: that of the smallest id. All columns stay.
 
-    Rows without an id can't be named and stay. Of rows that share id and text one stays.
+    Rows without an id can't be named and stay. Of rows that share id and text one stays. A shingle counts once however
+    often a text repeats it.
     """
     index = index_for(docs.count(), similarity)
-    prints = fingerprints(docs.where(F.col(id_col).isNotNull()), size, index.bits, id_col, text_col)
+    prints = fingerprints(docs.where(F.col(id_col).isNotNull()), size, index.bits, id_col, text_col, distinct=True)
     keep = groups(prints, index, id_col).where(F.col(id_col) == F.col("component_id")).select(id_col)
     kept = docs.join(keep, id_col, "left_semi")
     copy = Window.partitionBy(id_col, F.xxhash64(text_col)).orderBy(id_col)
@@ -87,12 +88,21 @@ def shingles(text: str | None, size: int) -> list[str]:
     return list(map(" ".join, zip(*(words[i:] for i in range(size)), strict=False)))
 
 
-def fingerprint(text: str | None, size: int = 3, bits: int = 64) -> bytes:
-    """The fingerprint as little-endian bytes; further words of 64 bits come from mixing the shingles' hashes again."""
+def shingle_hashes(text: str | None, size: int) -> np.ndarray:
     parts = shingles(text, size)
-    if not parts:
+    return np.fromiter((xxhash.xxh64_intdigest(p, 42) for p in parts), dtype=np.uint64, count=len(parts))
+
+
+def fingerprint(text: str | None, size: int = 3, bits: int = 64, distinct: bool = False) -> bytes:
+    """The fingerprint as little-endian bytes; ``distinct``: a shingle counts once however often it occurs."""
+    hashes = shingle_hashes(text, size)
+    return hash_bits(np.unique(hashes) if distinct else hashes, bits)
+
+
+def hash_bits(hashes: np.ndarray, bits: int) -> bytes:
+    """Majority bits of hashes; further words of 64 bits come from mixing the hashes again."""
+    if not len(hashes):
         return bytes(bits // 8)
-    hashes = np.fromiter((xxhash.xxh64_intdigest(p, 42) for p in parts), dtype=np.uint64, count=len(parts))
     counts = np.zeros(bits, dtype=np.int64)
     for start in range(0, len(hashes), BLOCK):
         h = hashes[start : start + BLOCK, None]
@@ -102,14 +112,14 @@ def fingerprint(text: str | None, size: int = 3, bits: int = 64) -> bytes:
             mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
             h = np.concatenate([h[:, :1], (mixed ^ (mixed >> np.uint64(31)))[:, 1:]], axis=1)
         counts += np.unpackbits(np.ascontiguousarray(h).view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
-    return np.packbits(2 * counts > len(parts), bitorder="little").tobytes()
+    return np.packbits(2 * counts > len(hashes), bitorder="little").tobytes()
 
 
-def fingerprints(docs: DataFrame, size: int = 3, bits: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, size: int = 3, bits: int = 64, id_col: str = "doc_id", text_col: str = "text", distinct: bool = False) -> DataFrame:
     """(id_col, fp binary) of every row."""
 
     def convert(batch):
-        return {"id": batch.column(0), "fp": [fingerprint(t, size, bits) for t in batch.column(1).to_pylist()]}
+        return {"id": batch.column(0), "fp": [fingerprint(t, size, bits, distinct) for t in batch.column(1).to_pylist()]}
 
     out = per_batch(docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")), convert, "id long, fp binary")
     return out.withColumnRenamed("id", id_col)

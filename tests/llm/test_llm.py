@@ -298,6 +298,17 @@ def test_near_duplicates_of_a_similarity(spark):
     assert sorted(rows(simhash.deduplicate(odd), "doc_id", "text"), key=str) == sorted([(None, "a"), (None, "a"), (1, None)], key=str)
 
 
+def test_a_repeated_line_does_not_outvote_a_text(spark):
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(5000)]
+    text = lambda n: " ".join(rng.choice(words, n, replace=False))
+    line = " ".join(f"line{i}" for i in range(12))
+    unlike = ["\n".join([text(100), *[line] * 30]) for _ in range(6)]
+    base = [text(300) for _ in range(6)]
+    frame = docs(spark, unlike + base + ["\n".join([b, *[line] * 15]) for b in base])
+    assert sorted({i for (i,) in rows(simhash.deduplicate(frame), "doc_id")}) == list(range(12))
+
+
 def test_components_of_paths_and_stars(spark):
     links = [(i, i + 1) for i in range(100, 160)] + [(5, 200 + i) for i in range(80)] + [(300, 300)]
     found = dict(rows(common.components(spark.createDataFrame(links, "a long, b long")), "node", "root"))
