@@ -27,6 +27,8 @@ _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
 #: Shingles whose bits are summed at once.
 BLOCK = 1 << 14
+#: Texts and shingles of a block in which candidates are compared; two blocks meet at a time.
+GROUP_TEXTS, GROUP_SHINGLES = 512, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -69,18 +71,108 @@ def index_for(documents: int, similarity: float = 0.8, recall: float = 0.99, mar
 def deduplicate(docs: DataFrame, similarity: float = 0.8, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group of near duplicates: that of the smallest id. All columns stay.
 
-    Rows without an id can't be named and stay. Of rows that share id and text one stays. A shingle counts once however
-    often a text repeats it.
+    Two texts are near duplicates if their sets of shingles have at least this Jaccard similarity; groups are the
+    components of such pairs. Fingerprints only find candidates: every pair within a component of candidate links is
+    decided by its sets of shingle hashes. Rows without an id can't be named and stay. Of rows that share id and text
+    one stays.
     """
     index = index_for(docs.count(), similarity)
-    prints = fingerprints(docs.where(F.col(id_col).isNotNull()), size, index.bits, id_col, text_col, distinct=True)
-    keep = groups(prints, index, id_col).where(F.col(id_col) == F.col("component_id")).select(id_col)
+    named = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    sets = named.mapInArrow(_sketches(size, index.bits), "id long, fp binary, digest binary, n long")
+    nodes = staged(sets.groupBy("digest").agg(F.min("id").alias("node"), F.first("fp").alias("fp"), F.first("n").alias("n")), "nodes")
+    near = components(verified_links(named, nodes, components(links(nodes, index)), similarity, size))
+    keep = nodes.join(near, "node", "left_anti").select(F.col("node").alias(id_col)).distinct()
     kept = docs.join(keep, id_col, "left_semi")
     copy = Window.partitionBy(id_col, F.xxhash64(text_col)).orderBy(id_col)
     kept = kept.withColumn("__copy", F.row_number().over(copy)).where("__copy = 1").drop("__copy")
     return kept.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
 
 
+def _sketches(size: int, bits: int):
+    """Of each (id, text): fingerprint, digest and size of the set of shingle hashes."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for text in batch.column(1).to_pylist():
+                hashes = np.unique(shingle_hashes(text, size))
+                out.append((hash_bits(hashes, bits), xxhash.xxh3_128_digest(hashes.tobytes()), len(hashes)))
+            fp, digest, n = zip(*out, strict=True) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(fp, pa.binary()), pa.array(digest, pa.binary()), pa.array(n, pa.int64())], names=["id", "fp", "digest", "n"])
+
+    return run
+
+
+def jaccard_links(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links (positions) that join the sets whose Jaccard similarity is high enough; pairs joined already are skipped."""
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    root = np.arange(len(sets))
+    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    order = np.flatnonzero(sizes)  # empty sets equal one another alone
+    if len(order) < 2:
+        return left[0], right[0]
+    values, codes = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
+    starts = np.concatenate([[0], np.cumsum(sizes[order])])
+    mark = np.zeros(len(values), dtype=np.int32)
+    for k, i in enumerate(order[:-1].tolist()):
+        rest = order[k + 1 :]
+        if (root[rest] == root[i]).all():
+            continue
+        own = codes[starts[k] : starts[k + 1]]
+        mark[own] = 1
+        shared = np.add.reduceat(mark[codes[starts[k + 1] :]], starts[k + 1 : -1] - starts[k + 1])
+        mark[own] = 0
+        near = rest[(shared >= similarity * (sizes[i] + sizes[rest] - shared) - 1e-9) & (root[rest] != root[i])]
+        if len(near):
+            joined, first = np.unique(root[near], return_index=True)
+            left.append(np.full(len(first), i))
+            right.append(near[first])
+            root[np.isin(root, joined)] = root[i]
+    return np.concatenate(left), np.concatenate(right)
+
+
+def verified_links(named: DataFrame, nodes: DataFrame, loose: DataFrame, similarity: float, size: int) -> DataFrame:
+    """Links (a, b) of the pairs within components of candidates (node, root) that reach the similarity.
+
+    Large components are dealt into blocks of bounded numbers of texts and of shingles; each pair of blocks is one
+    group, so that every pair of texts meets while no task holds a whole component.
+    """
+    members = staged(loose.union(loose.select(F.col("root").alias("node"), "root").distinct()).join(nodes.select("node", "n"), "node"), "members")
+    parts = members.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / GROUP_TEXTS, F.sum("n") / GROUP_SHINGLES)).cast("int").alias("parts"))
+    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    other = F.explode(F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: o != F.col("own"))))
+    dealt = members.select("node", "root").distinct().join(parts, "root").withColumn("own", own).withColumn("other", other)
+    dealt = dealt.select("node", F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other")).alias("group"))
+    rows = named.join(dealt, named["id"] == dealt["node"]).select("group", "node", "text")
+
+    def hashed(batches):
+        for batch in batches:
+            found = [np.unique(shingle_hashes(t, size)).tobytes() for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["group", "node", "hashes"])
+
+    def decide(batches):
+        group, held = None, {}
+
+        def flush():
+            keys = list(held)
+            x, y = jaccard_links([np.frombuffer(h, np.uint64) for _, h in keys], similarity)
+            node = np.array([n for n, _ in keys], dtype=np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(node[x]), pa.array(node[y])], names=["a", "b"])
+
+        for batch in batches:
+            for g, node, h in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if g != group:
+                    if len(held) > 1:
+                        yield flush()
+                    group, held = g, {}
+                held[node, h] = None
+        if len(held) > 1:
+            yield flush()
+
+    sets = rows.mapInArrow(hashed, "group long, node long, hashes binary")
+    return sets.repartition("group").sortWithinPartitions("group").mapInArrow(decide, "a long, b long")
+
+
 def shingles(text: str | None, size: int) -> list[str]:
     words = _WORD.findall((text or "").translate(_LOWER)) if text and not text.islower() else _WORD.findall(text or "")
     if len(words) < size:
@@ -93,10 +185,9 @@ def shingle_hashes(text: str | None, size: int) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(p, 42) for p in parts), dtype=np.uint64, count=len(parts))
 
 
-def fingerprint(text: str | None, size: int = 3, bits: int = 64, distinct: bool = False) -> bytes:
-    """The fingerprint as little-endian bytes; ``distinct``: a shingle counts once however often it occurs."""
-    hashes = shingle_hashes(text, size)
-    return hash_bits(np.unique(hashes) if distinct else hashes, bits)
+def fingerprint(text: str | None, size: int = 3, bits: int = 64) -> bytes:
+    """The fingerprint as little-endian bytes."""
+    return hash_bits(shingle_hashes(text, size), bits)
 
 
 def hash_bits(hashes: np.ndarray, bits: int) -> bytes:
@@ -115,11 +206,11 @@ def hash_bits(hashes: np.ndarray, bits: int) -> bytes:
     return np.packbits(2 * counts > len(hashes), bitorder="little").tobytes()
 
 
-def fingerprints(docs: DataFrame, size: int = 3, bits: int = 64, id_col: str = "doc_id", text_col: str = "text", distinct: bool = False) -> DataFrame:
+def fingerprints(docs: DataFrame, size: int = 3, bits: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, fp binary) of every row."""
 
     def convert(batch):
-        return {"id": batch.column(0), "fp": [fingerprint(t, size, bits, distinct) for t in batch.column(1).to_pylist()]}
+        return {"id": batch.column(0), "fp": [fingerprint(t, size, bits) for t in batch.column(1).to_pylist()]}
 
     out = per_batch(docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")), convert, "id long, fp binary")
     return out.withColumnRenamed("id", id_col)

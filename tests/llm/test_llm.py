@@ -309,6 +309,28 @@ def test_a_repeated_line_does_not_outvote_a_text(spark):
     assert sorted({i for (i,) in rows(simhash.deduplicate(frame), "doc_id")}) == list(range(12))
 
 
+def test_near_duplicates_are_those_of_the_shingle_sets(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    texts = []
+    for k in range(60):
+        base = [f"w{k}x{i}" for i in range(int(rng.choice([8, 10, 14, 40, 200])))]
+        texts.append(" ".join(base))
+        for _ in range(4):  # one word of short texts, up to a few of long ones
+            w = list(base)
+            for at in rng.integers(0, len(w), 1 + len(w) // 40):
+                w[int(at)] = f"e{rng.integers(0, 3)}"
+            texts.append(" ".join(w))
+    sets = [set(simhash.shingles(t, 5)) for t in texts]
+    pairs = [(i, j) for j in range(len(sets)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    node, _ = common.forest(*(np.array(x) for x in zip(*pairs, strict=True)))
+    want = sorted(set(range(len(texts))) - set(node.tolist()))
+    frame = docs(spark, texts)
+    assert 60 < len(want) < len(texts)
+    for least in (512, 2):  # whole components, and blocks of a few texts
+        monkeypatch.setattr(simhash, "GROUP_TEXTS", least)
+        assert sorted({i for (i,) in rows(simhash.deduplicate(frame), "doc_id")}) == want
+
+
 def test_components_of_paths_and_stars(spark):
     links = [(i, i + 1) for i in range(100, 160)] + [(5, 200 + i) for i in range(80)] + [(300, 300)]
     found = dict(rows(common.components(spark.createDataFrame(links, "a long, b long")), "node", "root"))
