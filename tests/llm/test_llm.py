@@ -331,6 +331,19 @@ def test_near_duplicates_are_those_of_the_shingle_sets(spark, monkeypatch):
         assert sorted({i for (i,) in rows(simhash.deduplicate(frame), "doc_id")}) == want
 
 
+def test_fingerprints_and_distance_hold_for_all_sizes():
+    found = [simhash.index_for(n) for n in (0, 10_000, 800_000, 6_000_000, 30_000_000)]
+    assert len({(x.bits, x.distance) for x in found}) == 1
+    rng = np.random.default_rng(10)
+    differ = rng.random((4000, found[0].bits)) < np.arccos(1.6 / 1.8) / np.pi  # pairs at the similarity
+    assert (differ.sum(axis=1) <= found[0].distance).all()
+    for x in found:
+        met = np.zeros(len(differ), dtype=bool)
+        for first, width in x.segments:
+            met |= (differ[:, first : first + x.ball_bits].sum(axis=1) <= 1) & ~differ[:, first + x.ball_bits : first + width].any(axis=1)
+        assert met.mean() > 0.98
+
+
 def test_components_of_paths_and_stars(spark):
     links = [(i, i + 1) for i in range(100, 160)] + [(5, 200 + i) for i in range(80)] + [(300, 300)]
     found = dict(rows(common.components(spark.createDataFrame(links, "a long, b long")), "node", "root"))
