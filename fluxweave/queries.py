@@ -530,8 +530,8 @@ def overlap_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def redundant_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(seg, unit) of users whose events coincide with a cleaner user's beyond chance."""
-    u = _units(spark, sf_dir).where("unit < 30").select(F.lit(0).alias("seg"), "unit", F.coalesce("mua", F.lit(float("nan"))).alias("mua"), "snr", "n")
-    c = trains.pair_correlograms(views.train(spark, sf_dir, "user_id").where("unit < 30"), 3, 7200).where("unit_1 < unit_2")
+    u = _units(spark, sf_dir).select(F.lit(0).alias("seg"), "unit", F.coalesce("mua", F.lit(float("nan"))).alias("mua"), "snr", "n")
+    c = trains.pair_correlograms(views.train(spark, sf_dir, "user_id"), 3, 7200).where("unit_1 < unit_2")
     pairs = c.groupBy("unit_1", "unit_2").agg(F.max(F.when(F.col("lag") == 0, F.col("n"))).alias("ratio"), (F.max("n") - F.min("n")).cast("double").alias("delta_max"))
     pairs = pairs.where("ratio is not null").select(F.lit(0).alias("seg"), "unit_1", "unit_2", F.col("ratio").cast("double").alias("ratio"), "delta_max", F.lit(float("nan")).alias("union_mua"))
     return units.drop_redundant(u, pairs)

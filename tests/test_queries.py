@@ -44,3 +44,15 @@ def test_matches_sql(spark, duck, name):
 def test_gives_rows(spark, name):
     assert queries.QUERIES[name](spark, SF).schema.fields
     assert queries.QUERIES[name](spark, SF).count() >= 0
+
+
+def test_redundant_units_judges_users_of_every_id(spark, tmp_path):
+    """The ids are names: with all of them moved (by a multiple of 11, which keeps who has no mua) the same users go."""
+    found = []
+    for k, move in enumerate((0, 99)):
+        rows = [(i, pd.Timestamp("2024-01-01") + pd.Timedelta(hours=i // 4 % 30), i % 4 + 1 + move, "view", float(i * 7 % 50), "{}") for i in range(200)]
+        pd.DataFrame(rows, columns=["event_id", "ts", "user_id", "event_type", "value", "props"]).astype({"ts": "datetime64[us]"}).to_parquet(tmp_path / f"events{k}.parquet")
+        (tmp_path / str(k)).mkdir()
+        (tmp_path / f"events{k}.parquet").rename(tmp_path / str(k) / "events.parquet")
+        found.append(sorted(r["unit"] - move for r in queries.QUERIES["redundant_units"](spark, str(tmp_path / str(k))).collect()))
+    assert found[0] and found[0] == found[1]
