@@ -1,14 +1,20 @@
 """Token-id files of directly addressable codes.
 
-The ids of a file are split into chunks of eight bits, lowest first. Level k holds the k-th chunk of every id that has
-one; a bitmap beside each level tells which of its ids go on, and a rank directory counts the set bits before every
+The ids of a section are split into chunks of eight bits, lowest first. Level k holds the k-th chunk of every id that
+has one; a bitmap beside each level tells which of its ids go on, and a rank directory counts the set bits before every
 block of 512. So the chunk of token i at the next level is found by one rank, and any token can be read from a few
-bytes at known places, without decoding what stands before it.
-
-Tokens come from the tokenizers library, run once for each distinct chunk of text between blanks. Null and empty
-texts hold the end id alone. Rows of one id follow each other in the order of their texts' hashes. Files are written
-to shared storage under names that no other attempt of the task uses and are found only through the manifest of the
-attempts that succeeded, so lost executors cost a retry and nothing else.
+bytes at known places, without decoding what stands before it. A file is a row of sections, the manifest has one row a
+section with the number of tokens before it.
+
+Tokens come from the tokenizers library. Its pre-tokenizer and model are run once for each distinct chunk of text
+between blanks, so far as a bounded memo holds; texts in which that could differ from the whole text's tokens (white
+space that blanks don't part, special tokens) go through the library whole.
+
+Null and empty texts hold the end id alone; an empty table gives no file. Rows of one id follow each other in the order
+of their texts' hashes, rows without an id come first and stay without one. Very long texts are a section of their own.
+Other columns of the table are not looked at, whatever their names. Files are written to shared storage under names that
+no other attempt of the task uses and are found only through the manifest of the attempts that succeeded, so lost
+executors cost a retry and nothing else.
 """
 
 from __future__ import annotations
@@ -26,22 +32,25 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fluxweave.llm.common import filesystem, fresh_path, staged
+from fluxweave.llm.common import filesystem, fresh_path, release, slices, staged
 
-MAGIC = b"DAC1"
+MAGIC = b"DAC2"
 RANK_BITS = 512
 _HEAD = struct.Struct("<4sIQQQ")  # magic, levels, documents, ids, place of the level table
 _LEVEL = struct.Struct("<QQQQ")  # entries, places of chunks, bitmap, ranks
-#: Tokens after which a new file begins.
-FILE_TOKENS = 4_000_000
-MEMO = 800_000
+#: Tokens after which a new section begins, bytes after which a new file does, bytes that one task reads back.
+SECTION_TOKENS, FILE_BYTES, TASK_BYTES = 500_000, 256 << 20, 8 << 20
+#: Tokens decoded at once where whole documents allow it; entries after which a memo starts afresh.
+SLICE_TOKENS, MEMO = 250_000, 600_000
+ENDS = frozenset(".,;:!?")  # marks that are a piece of their own after a word
 _ODD_SPACE = re.compile(r"[^\S \n]")
 
 
-def pack(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> bytes:
-    """One file's bytes: header, document directory (ids and starts), levels, level table."""
+def pack(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray) -> bytes:
+    """One section's bytes: header, document directory (ids, starts, bits of the ids that are there), levels, level table."""
     starts = np.concatenate([[0], np.cumsum(counts)]).astype("<u8")
-    body = [doc_ids.astype("<i8").tobytes(), starts.tobytes()]
+    named = np.array([i is not None for i in doc_ids], dtype=bool)
+    body = [np.array([i or 0 for i in doc_ids], dtype="<i8").tobytes(), starts.tobytes(), np.packbits(named, bitorder="little").tobytes()]
     at, table, rest = _HEAD.size + sum(map(len, body)), [], ids.astype(np.uint32)
     while True:
         more = rest > 255
@@ -70,10 +79,13 @@ class TokenFile:
             raise ValueError("not a token file")
         self.levels = list(_LEVEL.iter_unpack(read(place, levels * _LEVEL.size)))
 
-    def directory(self) -> tuple[np.ndarray, np.ndarray]:
+    def directory(self) -> tuple[list[int | None], np.ndarray]:
         """(document ids, starts); starts has one entry more, the end of the last document."""
-        raw = self.read(_HEAD.size, 8 * (2 * self.documents + 1))
-        return np.frombuffer(raw, "<i8", self.documents), np.frombuffer(raw, "<u8", offset=8 * self.documents).astype(np.int64)
+        n = self.documents
+        raw = self.read(_HEAD.size, 8 * (2 * n + 1) + -(-n // 8))
+        named = np.unpackbits(np.frombuffer(raw, np.uint8, offset=8 * (2 * n + 1)), count=n, bitorder="little")
+        ids = np.frombuffer(raw, "<i8", n).tolist()
+        return [i if there else None for i, there in zip(ids, named.tolist(), strict=True)], np.frombuffer(raw, "<u8", n + 1, offset=8 * n).astype(np.int64)
 
     def _rank(self, level: int, i: int) -> int:
         _, _, bitmap, ranks = self.levels[level]
@@ -95,69 +107,107 @@ class TokenFile:
     def slice(self, start: int, end: int) -> np.ndarray:
         """Tokens start .. end; reads each level's part alone."""
         out = np.zeros(end - start, dtype=np.uint32)
-        where = np.arange(end - start)
+        where: np.ndarray | slice = slice(None)
         level = 0
-        while len(where):
+        while end > start:
             _, chunks, bitmap, _ = self.levels[level]
             out[where] |= np.frombuffer(self.read(chunks + start, end - start), np.uint8).astype(np.uint32) << np.uint32(8 * level)
             first = start // 8
             bits = np.unpackbits(np.frombuffer(self.read(bitmap + first, (end + 7) // 8 - first), np.uint8), bitorder="little")
-            where = where[bits[start - 8 * first : end - 8 * first].astype(bool)]
-            if not len(where):
+            more = np.flatnonzero(bits[start - 8 * first : end - 8 * first]).astype(np.int32)
+            if not len(more):
                 break
+            where = more if isinstance(where, slice) else where[more]
             start = self._rank(level, start)
-            end, level = start + len(where), level + 1
+            end, level = start + len(more), level + 1
         return out
 
 
 class Encoder:
-    """The tokenizers library with a memo of distinct chunks; special tokens' strings are ordinary text."""
+    """The tokenizers library with a memo of distinct chunks.
+
+    ``plain_specials``: whether the strings of special tokens are read as ordinary text, as the library does on request;
+    else they are tokens, as by its default.
+    """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain_specials: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.memo: dict[str, bytes] = {}
-
-    def plain(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text. A piece never goes on over a blank after something other than white space, so texts in
-        which blanks stand alone are cut before each blank; all others are encoded as they are."""
-        whole = [i for i, t in enumerate(texts) if "  " in t or "\n " in t or _ODD_SPACE.search(t)]
-        apart = set(whole)
-        cut = {i: t.split(" ") for i, t in enumerate(texts) if i not in apart}
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        memo = self.memo  # of what follows a blank
-        new: set[str] = set()
-        for parts in cut.values():
-            new |= set(parts[1:]).difference(memo)
-        names = list(new)
-        memo.update(zip(names, self.plain([f" {n}" for n in names]), strict=True))
-        heads = self.plain([parts[0] for parts in cut.values()])
-        out: list[bytes] = [b""] * len(texts)
-        for (i, parts), head in zip(cut.items(), heads, strict=True):
-            out[i] = head + b"".join(map(memo.__getitem__, parts[1:]))
-        for i, ids in zip(whole, self.plain([texts[i] for i in whole]), strict=True):
-            out[i] = ids
-        for n in names:
-            if len(n) > 64:
-                del memo[n]
-        return out
-
-
-_ENCODERS: dict[str, Encoder] = {}
-
-
-def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        self.tokenizer.encode_special_tokens = plain_specials
+        added = [] if plain_specials else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, added))) if added else None
+        split, model = self.tokenizer.pre_tokenizer, self.tokenizer.model
+        # Only this pre-tokenizer is known to start a new piece at each blank that stands alone.
+        self.cuts = isinstance(split, pre_tokenizers.ByteLevel) and self.tokenizer.normalizer is None and not split.add_prefix_space
+
+        class Pieces(dict):
+            def __missing__(self, piece: str) -> bytes:
+                if len(self) > MEMO // 4:
+                    self.clear()
+                found = array("I", [t.id for t in model.tokenize(piece)]).tobytes()
+                if len(piece) <= 64:
+                    self[piece] = found
+                return found
+
+        # How the library writes the bytes of two-byte letters and of blanks and line ends.
+        wide = {c: split.pre_tokenize_str(chr(c))[0][0] for c in range(0xAA, 0x250) if chr(c).isalpha()} if self.cuts else {}
+
+        class Chunks(dict):  # of what stands between blanks, with the blank before it or without
+            def __init__(self, blank: str):
+                self.blank, self.mark = blank, "\u0120" if blank else ""
+
+            def __missing__(self, chunk: str) -> bytes:
+                if len(self) > MEMO:
+                    self.clear()
+                word, _, rest = chunk.partition("\n")
+                if rest and word and not rest[0].isspace() and not word[-1].isspace():  # a line end alone is one piece
+                    found = self[word] + pieces["\u010a"] + heads[rest]
+                else:
+                    word, end = (chunk, "") if chunk[-1:] not in ENDS else (chunk[:-1], chunk[-1:])
+                    if word.isalpha() and (word.isascii() or max(word) < "\u0250"):
+                        found = pieces[self.mark + (word if word.isascii() else word.translate(wide))]  # one piece
+                        if end:
+                            found += pieces[end]
+                    else:
+                        found = b"".join([pieces[p] for p, _ in split.pre_tokenize_str(self.blank + chunk)])
+                if len(chunk) <= 64:
+                    self[chunk] = found
+                return found
+
+        self.pieces = pieces = Pieces()
+        self.chunks, self.heads = Chunks(" "), Chunks("")
+        heads = self.heads
+
+    def plain(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def encode(self, text: str) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers. A piece never goes on over a blank after something other than
+        white space, so a text in which blanks stand alone is cut before each blank; all others are encoded whole."""
+        if not text:
+            return b""
+        if not self.cuts or "  " in text or "\n " in text or _ODD_SPACE.search(text) or self.special and self.special.search(text):
+            return self.plain(text)
+        first, *rest = text.split(" ")
+        return self.heads[first] + b"".join(map(self.chunks.__getitem__, rest))
+
+    def forget(self) -> None:
+        self.pieces.clear()
+        self.chunks.clear()
+        self.heads.clear()
+        self.tokenizer.model._clear_cache()
+
+
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
+
+
+def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", plain_specials: bool = False) -> DataFrame:
     """Encode every text and write files in ascending id order below ``folder``.
 
-    Returns the manifest (part, seq, uri, documents, tokens, start), ``start`` counting the tokens of all files
-    before; one row a file, read from the manifest's own table.
+    Returns the manifest (part, seq, uri, place, length, documents, tokens, start), ``start`` counting the tokens of all
+    sections before; one row a section, read from the manifest's own table.
     """
     ordered = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     ordered = ordered.withColumn("tie", F.xxhash64("text")).repartitionByRange("id", "tie").sortWithinPartitions("id", "tie").select("id", "text")
@@ -166,77 +216,99 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0, id_col:
     def run(batches):
         from fluxweave.llm import tokenfile
 
-        encoder = tokenfile._ENCODERS.setdefault(tokenizer, None) or tokenfile.Encoder(tokenizer)
-        tokenfile._ENCODERS[tokenizer] = encoder
+        encoder = tokenfile._ENCODERS.get((tokenizer, plain_specials)) or tokenfile.Encoder(tokenizer, plain_specials)
+        tokenfile._ENCODERS[tokenizer, plain_specials] = encoder
         files, base = filesystem(folder)
-        files.create_dir(base, recursive=True)
-        part, seq = TaskContext.get().partitionId(), 0
-        ids: list[int] = []
-        held: list[bytes] = []
-        size = 0
+        part, seq, sink, uri, place = TaskContext.get().partitionId(), 0, None, "", 0
+        ids: list[int | None] = []
+        counts: list[int] = []
+        held = bytearray()
 
         def flush():
-            name = f"{part:08d}-{seq:06d}-{uuid.uuid4().hex}.dac"
-            counts = np.array([len(h) // 4 for h in held], dtype=np.int64)
-            data = pack(np.array(ids, dtype=np.int64), counts, np.frombuffer(b"".join(held), "<u4"))
-            with files.open_output_stream(f"{base}/{name}", compression=None) as sink:
-                sink.write(data)
-            row = [[part], [seq], [f"{folder}/{name}"], [len(ids)], [int(counts.sum())]]
-            kinds = [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], names=["part", "seq", "uri", "documents", "tokens"])
-
-        for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            at = 0
-            while at < len(doc_ids):
-                some, chars = [], 0
-                while at + len(some) < len(doc_ids) and (not some or chars < 2_000_000):
-                    some.append(texts[at + len(some)].as_py())
-                    chars += len(some[-1])
-                for doc_id, found in zip(doc_ids[at : at + len(some)], encoder.encode(some), strict=True):
-                    ids.append(-(1 << 63) if doc_id is None else doc_id)
-                    held.append(found + end)
-                    size += len(found) // 4 + 1
-                    if size >= FILE_TOKENS:
+            nonlocal sink, uri, place, seq, ids, counts, held
+            if sink is None or place >= FILE_BYTES:
+                if sink:
+                    sink.close()
+                files.create_dir(base, recursive=True)
+                name = f"{part:08d}-{seq:06d}-{uuid.uuid4().hex}.dac"
+                sink, uri, place = files.open_output_stream(f"{base}/{name}", compression=None), f"{folder}/{name}", 0
+            data = pack(ids, np.array(counts, dtype=np.int64), np.frombuffer(held, "<u4"))
+            sink.write(data)
+            row = [[part], [seq], [uri], [place], [len(data)], [len(ids)], [sum(counts)]]
+            kinds = [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+            ids, counts, held, seq, place = [], [], bytearray(), seq + 1, place + len(data)
+            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], names=["part", "seq", "uri", "place", "length", "documents", "tokens"])
+
+        try:
+            for batch in slices(batches):
+                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    found = encoder.encode(text)
+                    ids.append(doc_id)
+                    counts.append(len(found) // 4 + 1)
+                    held += found
+                    held += end
+                    if len(held) >= 4 * SECTION_TOKENS:
                         yield flush()
-                        ids, held, size, seq = [], [], 0, seq + 1
-                at += len(some)
-        if ids:
-            yield flush()
+            if ids:
+                yield flush()
+        finally:
+            if sink:
+                sink.close()
+            release()
 
-    manifest = staged(ordered.mapInArrow(run, "part int, seq int, uri string, documents long, tokens long"), "manifest")
-    before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    return manifest.withColumn("start", F.coalesce(F.sum("tokens").over(before), F.lit(0)).cast("long"))
+    manifest = staged(ordered.mapInArrow(run, "part int, seq int, uri string, place long, length long, documents long, tokens long"), "manifest")
+    # Running sums in two levels: over the parts, of which there are no more than tasks, and over the sections of each.
+    parts = manifest.groupBy("part").agg(F.sum("tokens").alias("tokens"))
+    parts = parts.select("part", F.coalesce(F.sum("tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
+    before = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    placed = manifest.join(parts, "part").withColumn("start", (F.col("ahead") + F.coalesce(F.sum("tokens").over(before), F.lit(0))).cast("long"))
+    return placed.select("part", "seq", "uri", "place", "length", "documents", "tokens", "start")
 
 
-def opened(uri: str) -> TokenFile:
-    files, path = filesystem(uri)
-    source = files.open_input_file(path)
-    return TokenFile(lambda at, size: source.read_at(size, at))
+def opened(source, place: int = 0) -> TokenFile:
+    """The section at ``place`` of an open file."""
+    return TokenFile(lambda at, size: source.read_at(size, place + at))
 
 
 def read(manifest: DataFrame) -> DataFrame:
-    """(id, start, n_tokens, ids binary) of every document, from the files of a manifest; one task a file."""
+    """(id, start, n_tokens, ids binary) of every document, from the sections of a manifest, about TASK_BYTES a task."""
 
     def run(batches):
-        for batch in batches:
-            for uri, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                file = opened(uri)
-                ids, starts = file.directory()
-                for first in range(0, len(ids), 1000):
-                    s = starts[first : first + 1001]
-                    tokens = file.slice(int(s[0]), int(s[-1])).astype("<u4").tobytes()
-                    own = [tokens[4 * (a - s[0]) : 4 * (b - s[0])] for a, b in zip(s[:-1].tolist(), s[1:].tolist(), strict=True)]
-                    chosen = [None if i == -(1 << 63) else i for i in ids[first : first + 1000].tolist()]
-                    cols = [pa.array(chosen, pa.int64()), pa.array(s[:-1] + base, pa.int64()), pa.array(np.diff(s), pa.int64()), pa.array(own, pa.binary())]
-                    yield pa.RecordBatch.from_arrays(cols, names=["id", "start", "n_tokens", "ids"])
-
-    return manifest.select("uri", "start").repartition(max(1, manifest.count())).mapInArrow(run, "id long, start long, n_tokens long, ids binary")
-
-
-def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
+        from fluxweave.llm import tokenfile
+
+        for encoder in tokenfile._ENCODERS.values():  # of writing tasks that this worker ran before
+            encoder.forget()
+        try:
+            for batch in batches:
+                for uri, place, base in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    files, path = filesystem(uri)
+                    with files.open_input_file(path) as source:
+                        section = opened(source, place)
+                        ids, starts = section.directory()
+                        first = 0
+                        while first < len(ids):
+                            last = max(first + 1, int(np.searchsorted(starts, starts[first] + SLICE_TOKENS, side="right")) - 1)
+                            s = starts[first : last + 1]
+                            tokens = section.slice(int(s[0]), int(s[-1])).astype("<u4", copy=False)
+                            offsets = pa.array((s - s[0]) * 4, pa.int64()).cast(pa.int32()) if s[-1] - s[0] < 1 << 29 else None
+                            if offsets is None:
+                                own = pa.array([tokens[a - s[0] : b - s[0]].tobytes() for a, b in zip(s[:-1].tolist(), s[1:].tolist(), strict=True)], pa.binary())
+                            else:
+                                own = pa.Array.from_buffers(pa.binary(), len(s) - 1, [None, offsets.buffers()[1], pa.py_buffer(tokens)])
+                            cols = [pa.array(ids[first:last], pa.int64()), pa.array(s[:-1] + base, pa.int64()), pa.array(np.diff(s), pa.int64()), own]
+                            yield pa.RecordBatch.from_arrays(cols, names=["id", "start", "n_tokens", "ids"])
+                            first = last
+        finally:
+            release()
+
+    size = manifest.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    dealt = manifest.select("uri", "place", "start").repartition(max(1, -(-size // TASK_BYTES)), "uri", "place")
+    return dealt.mapInArrow(run, "id long, start long, n_tokens long, ids binary")
+
+
+def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 0, plain_specials: bool = False) -> DataFrame:
     """Write all documents, read the files back: (id, start, n_tokens, ids)."""
-    return read(write(docs, tokenizer, fresh_path(docs.sparkSession, "tokens"), end_id))
+    return read(write(docs, tokenizer, fresh_path(docs.sparkSession, "tokens"), end_id, plain_specials=plain_specials))
 
 
 def crc32(ids: bytes) -> int:
