@@ -77,8 +77,8 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
-def _term_sql(terms) -> str:
-    tests = [f"regexp_matches(u, '(^|[^[:alnum:]]){t}($|[^[:alnum:]])')::INT" for t in terms]
+def _term_sql(terms, column: str) -> str:
+    tests = [f"regexp_matches({column}, '(^|[^[:alnum:]]){t}($|[^[:alnum:]])')::INT" for t in terms]
     return " + ".join(tests)
 
 
@@ -95,7 +95,8 @@ r AS (
     WHEN regexp_matches(host, '(^|[.])example[.]com$') AND starts_with(path, '/de/') THEN 'example.com/de/'
     WHEN regexp_matches(host, '(^|[.])org$') AND starts_with(path, '/fr/') THEN 'org/fr/'
     WHEN regexp_matches(host, '(^|[.])net$') AND starts_with(path, '/') THEN 'net/' END AS rule,
-    ({_term_sql(urlfilter.STRICT)}) AS strict, ({_term_sql(urlfilter.SOFT)}) AS soft FROM h)
+    ({_term_sql(urlfilter.STRICT, "u")} + {_term_sql(urlfilter.HOST, "host")}) AS strict,
+    ({_term_sql(urlfilter.SOFT + urlfilter.HOST, "u")}) AS soft FROM h)
 SELECT page_id, host, path, rule, CASE
   WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
   WHEN strict > 0 OR soft >= 2 THEN 'block' ELSE 'allow' END AS verdict FROM r

@@ -1,9 +1,17 @@
 """URL filter: host and path rules first, then a weighted vocabulary found by one Aho-Corasick pass.
 
 The method looks for terms in the URL with A-Z in lower case. A hit counts only where no letter or digit stands directly
-before and after it. One strict term blocks; so do at least ``soft_hits`` distinct soft terms. Where a rule fits, the
-longest one (host and path characters) decides instead. Null URLs and URLs without ``://`` have an empty host and path
-and are judged by the method alone. Repeated rows are judged alike.
+before and after it, so terms, which are single words, never lie in one another. One strict term blocks, as does one term
+in the host that is strict there: a word that whole sites of a kind bear in their names but that pages on other sites may
+well have in a path. So do at least ``soft_hits`` distinct soft terms, among which those count too. Where a rule fits, the
+longest one (host and path characters) decides instead.
+
+The words are common names of the trades that such filters keep out (pornography, gambling, drug sales, loans, spam and
+advert tracking), not a list of hosts; word and weight are parameters.
+
+Null URLs and URLs without ``://`` have an empty host and path and are judged by the method alone. Empty URLs are allowed,
+an empty table gives no rows, repeated rows are judged alike, very long URLs are read whole in one pass. Other columns of
+the table are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,9 +23,10 @@ from pyspark.sql import functions as F
 
 from fluxweave.llm.common import per_batch
 
-#: Vocabulary of the method.
-STRICT = ("porn", "porno", "xxx", "viagra", "cialis", "casino", "casino-win", "cheap-pills", "adult-x", "free-bets", "spam-farm", "escort", "hentai", "camgirls", "payday-loans", "jackpot")
-SOFT = ("adult", "sex", "bets", "bet", "win", "pills", "cheap", "free", "loan", "loans", "poker", "slots", "dating", "nude", "hot", "click", "bonus", "prize", "ads-track", "track", "ads", "spam", "warez", "crack")
+#: Vocabulary of the method: strict anywhere, strict in a host, soft.
+STRICT = ("porn", "porno", "xxx", "hentai", "camgirls", "viagra", "cialis", "casino", "casinos", "jackpot", "warez")
+HOST = ("adult", "adults", "sex", "nude", "escort", "escorts", "bet", "bets", "betting", "poker", "slots", "lottery", "pills", "pharmacy", "steroids", "payday", "spam", "spammer", "malware", "phishing", "torrent", "torrents", "crack", "cracks", "keygen")
+SOFT = ("ad", "ads", "advert", "adserver", "affiliate", "banner", "bonus", "cash", "cheap", "click", "clicks", "credit", "dating", "discount", "free", "girls", "hot", "loan", "loans", "meds", "odds", "popup", "prize", "promo", "singles", "spins", "track", "tracker", "tracking", "win", "winner")
 
 
 _LOWER = {c: c + 32 for c in range(65, 91)}
@@ -37,7 +46,7 @@ class Rule:
 
 
 class Judge:
-    def __init__(self, rules: list[Rule], strict=STRICT, soft=SOFT, soft_hits: int = 2):
+    def __init__(self, rules: list[Rule], strict=STRICT, host=HOST, soft=SOFT, soft_hits: int = 2):
         import ahocorasick
 
         self.rules: dict[str, list[Rule]] = {}
@@ -45,10 +54,9 @@ class Judge:
             self.rules.setdefault(rule.host, []).append(rule)
         self.soft_hits = soft_hits
         self.terms = ahocorasick.Automaton()
-        for term in soft:
-            self.terms.add_word(term, (term, False))
-        for term in strict:
-            self.terms.add_word(term, (term, True))
+        for weight, terms in enumerate((soft, host, strict)):
+            for term in terms:
+                self.terms.add_word(term, (term, weight))
         self.terms.make_automaton()
 
     @staticmethod
@@ -69,15 +77,17 @@ class Judge:
         return max(fitting, key=lambda r: len(r.text), default=None)
 
     def hits(self, url: str | None) -> tuple[set[str], set[str]]:
-        """Distinct strict and soft terms that stand alone in the URL."""
+        """Distinct strict and soft terms that stand alone in the URL; terms of the host are strict within it."""
         text = (url or "").translate(_LOWER)
+        begin = text.find("://") + 3 if "://" in text else 0
+        end_of_host = begin + len(self.parts(url)[0])
         strict: set[str] = set()
         soft: set[str] = set()
-        for end, (term, hard) in self.terms.iter(text):
-            start = end + 1 - len(term)
-            if not (start and text[start - 1].isalnum()) and not (end + 1 < len(text) and text[end + 1].isalnum()):
-                (strict if hard else soft).add(term)
-        return strict, soft
+        for last, (term, weight) in self.terms.iter(text):
+            start, end = last + 1 - len(term), last + 1
+            if not (start and text[start - 1].isalnum()) and not (end < len(text) and text[end].isalnum()):
+                (strict if weight == 2 or weight == 1 and begin <= start and end <= end_of_host else soft).add(term)
+        return strict, soft - strict
 
     def judge(self, url: str | None) -> tuple[str, str, str | None, str, int, int]:
         host, path = self.parts(url)
@@ -88,8 +98,6 @@ class Judge:
 
 
 
-
-
 def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url", **options) -> DataFrame:
     """(id_col, host, path, rule, verdict, strict_hits, soft_hits) of every row."""
     judges: list[Judge] = []
