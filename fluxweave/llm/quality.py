@@ -8,11 +8,14 @@ are known; the attention is learnt from them.
 The model is fitted on the driver from at most ``sample`` labelled rows (those of smallest hash), with at most
 ``passages`` evenly spaced passages of each; both bounds are parameters and hold for fitting alone. Null and empty texts
 are one empty passage and get a score like any other. Without labels every score is 1; with labels of one kind only it
-is that kind. Repeated rows are scored alike.
+is that kind. Repeated rows are scored alike, repeated labels count each. An empty table gives no rows. Very long texts
+are read block by block, so that they need little more memory than their bytes. Columns may have any names; only those
+that are named are looked at.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fluxweave.llm.common import per_batch
+from fluxweave.llm.common import per_batch, release, slices
 
 PASSAGE = 512
 BUCKETS = 512
@@ -31,30 +34,51 @@ LAGS = 20
 HIDDEN, GATE = 24, 12
 SAMPLE, PASSAGES = 6000, 32
 #: Passages encoded at once.
-BLOCK = 4096
+BLOCK = 256
+
+
+def blocks(text: str | None) -> Iterator[np.ndarray]:
+    """Feature rows, float32, of a text's passages, BLOCK at a time: square roots of byte-pair shares, damped where a
+    passage is short; the number of distinct pairs for the length; and how much of the passage repeats at its best lag."""
+    whole = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+    if len(whole) < 2:
+        yield np.zeros((1, FEATURES), np.float32)
+        return
+    for start in range(0, len(whole), BLOCK * PASSAGE):
+        end = min(len(whole), start + BLOCK * PASSAGE)
+        raw = whole[start : end + 1].astype(np.int32)  # one byte more, for the last pair
+        n, m = -(-(end - start) // PASSAGE), end - start
+        pair = ((raw[:-1] * 40503 + raw[1:] * 30011) >> 3) % BUCKETS
+        place = np.arange(m) // PASSAGE
+        counts = np.bincount(place[: len(pair)] * BUCKETS + pair, minlength=n * BUCKETS).reshape(n, BUCKETS)
+        total = counts.sum(axis=1)
+        out = np.zeros((n, FEATURES), np.float32)
+        out[:, :BUCKETS] = np.sqrt(counts / (total + DAMPING)[:, None])
+        out[:, BUCKETS] = np.count_nonzero(counts, axis=1) / np.sqrt(total + 1) / 8
+        best = np.zeros(n)
+        before = whole[max(0, start - LAGS) : end]  # with the bytes that lags reach back to
+        skip = start - max(0, start - LAGS)
+        for lag in range(3, LAGS):
+            first = max(skip, lag)
+            if len(before) > first:
+                same = before[first:] == before[first - lag : len(before) - lag]
+                np.maximum(best, np.bincount(place[first - skip :][same], minlength=n), out=best)
+        out[:, BUCKETS + 1] = 2 * best / (np.bincount(place, minlength=n) + DAMPING)
+        yield out
 
 
 def passages(text: str | None) -> np.ndarray:
-    """Feature rows of all passages of a text, float32: square roots of byte-pair shares, damped where a passage is
-    short; the number of distinct pairs for the length; and how much of the passage repeats at its best lag."""
-    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8).astype(np.int32)
-    n = max(1, -(-len(raw) // PASSAGE))
-    out = np.zeros((n, FEATURES), np.float32)
-    if len(raw) < 2:
-        return out
-    pair = ((raw[:-1] * 40503 + raw[1:] * 30011) >> 3) % BUCKETS
-    place = np.arange(len(raw)) // PASSAGE
-    counts = np.bincount(place[:-1] * BUCKETS + pair, minlength=n * BUCKETS).reshape(n, BUCKETS)
-    total = counts.sum(axis=1)
-    out[:, :BUCKETS] = np.sqrt(counts / (total + DAMPING)[:, None])
-    size = np.bincount(place, minlength=n)
-    out[:, BUCKETS] = np.count_nonzero(counts, axis=1) / np.sqrt(total + 1) / 8
-    best = np.zeros(n)
-    for lag in range(3, LAGS):
-        if len(raw) > lag:
-            np.maximum(best, np.bincount(place[lag:][raw[lag:] == raw[:-lag]], minlength=n), out=best)
-    out[:, BUCKETS + 1] = 2 * best / (size + DAMPING)
-    return out
+    return np.concatenate(list(blocks(text)))
+
+
+def some_passages(text: str | None, limit: int) -> np.ndarray:
+    """At most ``limit`` evenly spaced passages, as float16."""
+    n = max(1, -(-len((text or "").encode("utf-8", "surrogatepass")) // PASSAGE))
+    wanted, out, at = np.linspace(0, n - 1, min(limit, n)).astype(int), [], 0
+    for x in blocks(text):
+        out.append(x[wanted[(wanted >= at) & (wanted < at + len(x))] - at].astype(np.float16))
+        at += len(x)
+    return np.concatenate(out)
 
 
 @dataclass
@@ -78,14 +102,26 @@ class Model:
         np.add.at(z, bag, a[:, None] * h)
         return 1 / (1 + np.exp(-(z @ w["c"] + w["d"]))), (h, t, g, a, z)
 
+    def gradients(self, x: np.ndarray, bag: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean log loss over bags."""
+        w, n = self.w, len(labels)
+        p, (h, t, g, a, z) = self.forward(x, bag, n)
+        d = (p - labels) / n
+        dz = d[:, None] * w["c"][None, :]
+        da = (dz[bag] * h).sum(axis=1)
+        de = a * (da - np.bincount(bag, a * da, n)[bag])
+        dt, dg = de[:, None] * g * w["w"] * (1 - t * t), de[:, None] * t * w["w"] * g * (1 - g)
+        dh = (a[:, None] * dz[bag] + dt @ w["V"].T + dg @ w["U"].T) * (1 - h * h)
+        return {"W": x.T @ dh, "b": dh.sum(0), "V": h.T @ dt, "U": h.T @ dg, "w": (t * g).T @ de, "c": z.T @ d, "d": np.array([d.sum()])}
+
     def score(self, text: str | None) -> float:
         if self.constant is not None:
             return self.constant
-        w, x = self.w, passages(text)
-        # One pass with a running maximum, so that the longest text needs no more than a block.
+        w = self.w
+        # One pass with a running maximum, so that the longest text needs no more than a block of features.
         top, total, z = -np.inf, 0.0, np.zeros(HIDDEN)
-        for start in range(0, len(x), BLOCK):
-            h = np.tanh(x[start : start + BLOCK] @ w["W"] + w["b"])
+        for x in blocks(text):
+            h = np.tanh(x @ w["W"] + w["b"])
             e = (np.tanh(h @ w["V"]) * (1 / (1 + np.exp(-h @ w["U"])))) @ w["w"]
             new = max(top, float(e.max()))
             a = np.exp(e - new)
@@ -119,14 +155,7 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, epochs: int = 30, rate: floa
             rows = order[start : start + 64]
             x = np.concatenate([bags[i] for i in rows]).astype(np.float64)
             bag = np.repeat(np.arange(len(rows)), [len(bags[i]) for i in rows])
-            p, (h, t, g, a, z) = model.forward(x, bag, len(rows))
-            d = (p - labels[rows]) / len(rows)
-            dz = d[:, None] * w["c"][None, :]
-            da = (dz[bag] * h).sum(axis=1)
-            de = a * (da - np.bincount(bag, a * da, len(rows))[bag])
-            dt, dg = de[:, None] * g * w["w"] * (1 - t * t), de[:, None] * t * w["w"] * g * (1 - g)
-            dh = (a[:, None] * dz[bag] + dt @ w["V"].T + dg @ w["U"].T) * (1 - h * h)
-            grads = {"W": x.T @ dh, "b": dh.sum(0), "V": h.T @ dt, "U": h.T @ dg, "w": (t * g).T @ de, "c": z.T @ d, "d": np.array([d.sum()])}
+            grads = model.gradients(x, bag, labels[rows])
             step += 1
             for k, grad in grads.items():
                 grad = grad + decay * w[k]
@@ -143,14 +172,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, limit: int =
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id")
 
     def convert(batch):
-        features = []
-        for text in batch.column(1).to_pylist():
-            x = passages(text)
-            features.append(x[np.linspace(0, len(x) - 1, min(limit, len(x))).astype(int)].astype(np.float16).tobytes())
+        features = [some_passages(t, limit).tobytes() for t in batch.column(1).to_pylist()]
         return {"id": batch.column(0), "label": batch.column(2), "x": features}
 
     found = sorted((r.id, r.label, bytes(r.x)) for r in per_batch(rows, convert, "id long, label int, x binary").orderBy(F.xxhash64("id")).limit(sample).collect())
-    return fit([np.frombuffer(x, np.float16).reshape(-1, FEATURES) for _, _, x in found], np.array([y for _, y, _ in found], dtype=np.float64))
+    model = fit([np.frombuffer(x, np.float16).reshape(-1, FEATURES) for _, _, x in found], np.array([y for _, y, _ in found], dtype=np.float64))
+    del found
+    release()
+    return model
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -168,7 +197,7 @@ def keep(docs: DataFrame, model: Model, least: float, text_col: str = "text") ->
     at = docs.columns.index(text_col)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array([model.score(t) >= least for t in batch.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
