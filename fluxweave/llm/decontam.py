@@ -7,13 +7,17 @@ joins passages to items by seeds: where at least two distinct seeds of an item (
 its length, the passage around them is aligned with the item, and the local alignment's score over the item's own is
 kept if it reaches ``least``. So edited copies are found as well as exact ones.
 
-Items are worked through in blocks of bounded size, one automaton each. Null and empty texts match nothing; items
-without words are passed over; shorter items than n words are one seed. Repeated rows give repeated results, repeated
-items each their own. Texts are scanned whole.
+Items are worked through in blocks of bounded size, one pass each; a block's items and seeds are written to the shared
+folder and read by the tasks, so neither the driver nor a task holds more than one block. Null and empty texts match
+nothing; items without words are passed over; shorter items than n words are one seed. Repeated rows give repeated
+results, repeated items each their own. Of equally good passages of a document the one with more seeds, then the later
+one, is reported. Empty tables of documents or items give no rows. Texts are scanned whole; long ones are aligned in
+overlapping windows. Columns may have any names; only those that are named are looked at.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import Counter, defaultdict
 
@@ -22,17 +26,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fluxweave.llm.common import filesystem, fresh_path, slices, staged
+
 SIZE = 3
 RARE = 0.001
 LEAST = 0.5
 MATCH, MISS, GAP = 2, -1, -1
 #: Characters of items in one block; a larger benchmark takes more passes.
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 2_000_000
 _WORD = re.compile(r"\w+")
 
 
 def words(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+    """Lower-case words; each is one word of the text as it stands, so that places can be told."""
+    low = (text or "").lower()
+    return _WORD.findall(low) if len(low) == len(text or "") else [w.lower() for w in _WORD.findall(text)]
 
 
 def grams(tokens: list[str], size: int = SIZE) -> list[str]:
@@ -131,8 +139,8 @@ class Finder:
                     out.append((k, *best))
         if not out:
             return []
-        bounds = [m.span() for m in _WORD.finditer(text)] if len(text) == len(text.lower()) else None
-        return [(self.items.ids[k], s, n, bounds[a][0] if bounds else -1, bounds[b - 1][1] if bounds else -1) for k, s, n, a, b in out]
+        bounds = [m.span() for m in _WORD.finditer(text)]
+        return [(self.items.ids[k], s, n, bounds[a][0], bounds[b - 1][1]) for k, s, n, a, b in out]
 
     def passage(self, item: list[str], tokens: list[str], first: int, last: int, distinct: int) -> tuple[float, int, int, int]:
         """Align the passage around a run of seeds; a long run is taken in overlapping windows."""
@@ -163,18 +171,20 @@ def blocks(items: DataFrame, id_col: str, text_col: str):
         yield held
 
 
-def finders(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = SIZE, rare: float = RARE, least: float = LEAST) -> list[tuple]:
-    """What ``Finder`` takes, for each block of items; counts come from all documents."""
-    out = []
+def finders(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = SIZE, rare: float = RARE, least: float = LEAST):
+    """For each block of items the URI of what ``Finder`` takes; counts come from all documents."""
+    spark = docs.sparkSession
     for block in blocks(items, item_id, item_text):
         held = Items(block, size)
-        patterns = sorted(held.patterns())
-        if not patterns:
+        if not held.grams:
             continue
+        uri = fresh_path(spark, "items")
+        store(uri, held)
 
-        def count(batches, patterns=patterns):
+        def count(batches, uri=uri):
+            patterns = sorted(load(uri).patterns())
             matcher, totals, rows = automaton(patterns), Counter(), 0
-            for batch in batches:
+            for batch in slices(batches):
                 for text in batch.column(0).to_pylist():
                     rows += 1
                     totals.update({g for _, g in matcher.iter(f" {' '.join(words(text))} ")})
@@ -184,34 +194,56 @@ def finders(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id:
         counted = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, "gram string, n long")
         counts = {r.gram: r.n for r in counted.groupBy("gram").agg(F.sum("n").alias("n")).collect()}  # one row an n-gram of the block
         documents = counts.pop("", 0)
-        out.append((held, dict(held.seeds(counts, documents, rare)), least))
-    return out
+        uri = fresh_path(spark, "seeds")
+        store(uri, (held, dict(held.seeds(counts, documents, rare)), least))
+        yield uri
 
 
-def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """(id_col, item_id, score, seeds, start, end): every document and item that share a passage."""
-    prepared = finders(docs, items, text_col, **options)
+def store(uri: str, value) -> None:
+    """A value of this module's own making, written once below the shared folder."""
+    files, path = filesystem(uri)
+    files.create_dir(path.rpartition("/")[0], recursive=True)
+    with files.open_output_stream(path) as sink:
+        sink.write(pickle.dumps(value))
 
-    def run(batches):
-        found = [Finder(*p) for p in prepared]
-        for batch in batches:
-            rows = [(i, *hit) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for f in found for hit in f.find(t)]
-            cols = list(zip(*rows, strict=True)) or [[]] * 6
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["id", "item_id", "score", "seeds", "start", "end"])
 
-    out = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, item_id long, score double, seeds int, start long, end long")
-    return out.withColumnRenamed("id", id_col)
+def load(uri: str):
+    files, path = filesystem(uri)
+    with files.open_input_file(path) as source:
+        return pickle.loads(source.read())
 
 
-def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that share a passage with no item; all columns stay, nothing is shuffled."""
-    prepared = finders(docs, items, text_col, **options)
-    at = docs.columns.index(text_col)
+def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """(id_col, item_id, score, seeds, start, end): every document and item that share a passage."""
+    schema = "id long, item_id long, score double, seeds int, start long, end long"
+    kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int64(), pa.int64()]
+    lean = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    out = None
+    for uri in finders(docs, items, text_col, **options):
+
+        def run(batches, uri=uri):
+            finder = Finder(*load(uri))
+            for batch in slices(batches):
+                rows = [(i, *hit) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for hit in finder.find(t)]
+                cols = list(zip(*rows, strict=True)) or [[]] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["id", "item_id", "score", "seeds", "start", "end"])
+
+        found = lean.mapInArrow(run, schema)
+        out = found if out is None else out.union(found)
+    out = docs.sparkSession.createDataFrame([], schema) if out is None else out
+    return out.withColumnRenamed("id", id_col)
 
-    def run(batches):
-        found = [Finder(*p) for p in prepared]
-        for batch in batches:
-            yield batch.filter(pa.array([not any(f.find(t) for f in found) for t in batch.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that share a passage with no item; all columns stay, nothing is shuffled. Each further block of
+    items works on what the one before left, written to the shared folder."""
+    at, left = docs.columns.index(text_col), docs
+    for n, uri in enumerate(list(finders(docs, items, text_col, **options))):
+
+        def run(batches, uri=uri):
+            finder = Finder(*load(uri))
+            for batch in slices(batches):
+                yield batch.filter(pa.array([not finder.find(t) for t in batch.column(at).to_pylist()], pa.bool_()))
+
+        left = (staged(left, "clean") if n else left).mapInArrow(run, docs.schema)
+    return left
