@@ -6,8 +6,12 @@ bucket the table of a further segment is searched with the small Hamming ball ar
 distances decide. Each bucket returns a spanning forest of its links instead of all pairs, so a group of n copies
 gives at most n rows a bucket. Components of the forests are the components of all links.
 
+Buckets of very many rows are dealt out again by the values of their further segments, each row to the ball around its
+value there, so that no task holds a crowded bucket whole.
+
 Null texts count as empty; empty texts have fingerprint zero and link like any other. Equal fingerprints are one
-node. Repeated rows stay repeated. Texts are read whole, in blocks of bounded memory.
+node. Repeated rows stay repeated. An empty table gives no rows. Texts are read whole, in blocks of bounded memory. Other
+columns may have any names.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fluxweave.llm.common import components, forest, per_batch, staged
+from fluxweave.llm.common import components, forest, per_batch, release, slices, spread_join, staged
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
@@ -29,6 +33,8 @@ _LOWER = {c: c + 32 for c in range(65, 91)}
 BLOCK = 1 << 14
 #: Texts and shingles of a block in which candidates are compared; two blocks meet at a time.
 GROUP_TEXTS, GROUP_SHINGLES = 512, 1 << 20
+#: Ids (16 bytes each) that may be broadcast; rows of a bucket from which it is dealt out again.
+SMALL, CROWDED = 500_000, 200_000
 
 
 @dataclass(frozen=True)
@@ -46,6 +52,10 @@ class Index:
     ball_bits: int = 0
     inner: bool = True
 
+    def balls(self, dealt: int) -> list[tuple[int, int]]:
+        """The segments searched with balls inside a bucket of segment number ``dealt``."""
+        return [s for k, s in enumerate(self.segments) if k != dealt] if self.inner else [(self.segments[dealt][0], self.ball_bits)]
+
 
 #: Three errors leave one of four segments untouched, and of the three others one with at most one error: exact.
 EXACT_64 = Index(64, 3, tuple((16 * i, 16) for i in range(4)))
@@ -77,27 +87,32 @@ def deduplicate(docs: DataFrame, similarity: float = 0.8, size: int = 5, id_col:
     """One row of each group of near duplicates: that of the smallest id. All columns stay.
 
     Two texts are near duplicates if their sets of shingles have at least this Jaccard similarity; groups are the
-    components of such pairs. Fingerprints only find candidates: every pair within a component of candidate links is
-    decided by its sets of shingle hashes. Rows without an id can't be named and stay. Of rows that share id and text
+    components of such pairs. Fingerprints only find candidates: the pairs within a component of candidate links are
+    decided by their sets of shingle hashes. Rows without an id can't be named and stay. Of rows that share id and text
     one stays.
     """
-    index = index_for(docs.count(), similarity)
     named = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sets = named.mapInArrow(_sketches(size, index.bits), "id long, fp binary, digest binary, n long")
+    sets = staged(named.mapInArrow(_sketches(size, NEAR_BITS), "id long, fp binary, digest binary, n long"), "sets")
     nodes = staged(sets.groupBy("digest").agg(F.min("id").alias("node"), F.first("fp").alias("fp"), F.first("n").alias("n")), "nodes")
+    index = index_for(nodes.count(), similarity)
     near = components(verified_links(named, nodes, components(links(nodes, index)), similarity, size))
-    keep = nodes.join(near, "node", "left_anti").select(F.col("node").alias(id_col)).distinct()
-    kept = docs.join(keep, id_col, "left_semi")
+    keep = nodes.join(near, "node", "left_anti").select(F.col("node").alias("id"))
+    gone = staged(sets.select("id").join(keep, "id", "left_anti").distinct().withColumnRenamed("id", id_col), "gone")
+    kept = docs.join(F.broadcast(gone) if gone.count() <= SMALL else gone, id_col, "left_anti")
+    twice = staged(sets.groupBy("id").count().where("count > 1").select(F.col("id").alias(id_col)), "twice")
+    if twice.isEmpty():
+        return kept.select(*docs.columns)
+    mark = next(n for n in (f"copy{i or ''}" for i in range(len(docs.columns) + 1)) if n not in {c.lower() for c in docs.columns})
     copy = Window.partitionBy(id_col, F.xxhash64(text_col)).orderBy(id_col)
-    kept = kept.withColumn("__copy", F.row_number().over(copy)).where("__copy = 1").drop("__copy")
-    return kept.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+    first = kept.join(twice, id_col, "left_semi").withColumn(mark, F.row_number().over(copy)).where(F.col(mark) == 1)
+    return kept.join(twice, id_col, "left_anti").select(*docs.columns).unionByName(first.select(*docs.columns))
 
 
 def _sketches(size: int, bits: int):
     """Of each (id, text): fingerprint, digest and size of the set of shingle hashes."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for text in batch.column(1).to_pylist():
                 hashes = np.unique(shingle_hashes(text, size))
@@ -108,10 +123,11 @@ def _sketches(size: int, bits: int):
     return run
 
 
-def jaccard_links(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Links (positions) that join the sets whose Jaccard similarity is high enough; pairs joined already are skipped."""
+def jaccard_links(sets: list[np.ndarray], similarity: float, classes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links (positions) that join the sets whose Jaccard similarity is high enough; pairs joined already, by links found
+    here or by being of one of the ``classes``, are skipped."""
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
-    root = np.arange(len(sets))
+    root = np.arange(len(sets)) if classes is None else np.unique(classes, return_inverse=True)[1]
     left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     order = np.flatnonzero(sizes)  # empty sets equal one another alone
     if len(order) < 2:
@@ -136,46 +152,74 @@ def jaccard_links(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray
     return np.concatenate(left), np.concatenate(right)
 
 
-def verified_links(named: DataFrame, nodes: DataFrame, loose: DataFrame, similarity: float, size: int) -> DataFrame:
-    """Links (a, b) of the pairs within components of candidates (node, root) that reach the similarity.
-
-    Large components are dealt into blocks of bounded numbers of texts and of shingles; each pair of blocks is one
-    group, so that every pair of texts meets while no task holds a whole component.
-    """
-    members = staged(loose.union(loose.select(F.col("root").alias("node"), "root").distinct()).join(nodes.select("node", "n"), "node"), "members")
-    parts = members.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / GROUP_TEXTS, F.sum("n") / GROUP_SHINGLES)).cast("int").alias("parts"))
-    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    other = F.explode(F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: o != F.col("own"))))
-    dealt = members.select("node", "root").distinct().join(parts, "root").withColumn("own", own).withColumn("other", other)
-    dealt = dealt.select("node", F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other")).alias("group"))
-    rows = named.join(dealt, named["id"] == dealt["node"]).select("group", "node", "text")
+def _decided(named: DataFrame, dealt: DataFrame, similarity: float, size: int) -> DataFrame:
+    """Links (a, b) within each group of ``dealt`` (group, node, class, late), by the sets of the nodes' texts. Rows that
+    come ``late`` are of one class with all after them, so only the others meet every row."""
+    few = dealt.count() <= SMALL
+    rows = named.join(F.broadcast(dealt) if few else dealt, named["id"] == dealt["node"]).select("group", "late", "node", "class", "text")
 
     def hashed(batches):
-        for batch in batches:
-            found = [np.unique(shingle_hashes(t, size)).tobytes() for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["group", "node", "hashes"])
+        for batch in slices(batches):
+            found = [np.unique(shingle_hashes(t, size)).tobytes() for t in batch.column(4).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(found, pa.binary())], names=["group", "late", "node", "class", "hashes"])
 
     def decide(batches):
         group, held = None, {}
 
         def flush():
             keys = list(held)
-            x, y = jaccard_links([np.frombuffer(h, np.uint64) for _, h in keys], similarity)
-            node = np.array([n for n, _ in keys], dtype=np.int64)
+            x, y = jaccard_links([np.frombuffer(h, np.uint64) for _, _, h in keys], similarity, np.array([c for _, c, _ in keys]))
+            node = np.array([n for n, _, _ in keys], dtype=np.int64)
             return pa.RecordBatch.from_arrays([pa.array(node[x]), pa.array(node[y])], names=["a", "b"])
 
-        for batch in batches:
-            for g, node, h in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for batch in slices(batches):
+            for g, node, c, h in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4)), strict=True):
                 if g != group:
                     if len(held) > 1:
                         yield flush()
                     group, held = g, {}
-                held[node, h] = None
+                held[node, c, h] = None
         if len(held) > 1:
             yield flush()
 
-    sets = rows.mapInArrow(hashed, "group long, node long, hashes binary")
-    return sets.repartition("group").sortWithinPartitions("group").mapInArrow(decide, "a long, b long")
+    sets = rows.mapInArrow(hashed, "group long, late boolean, node long, class long, hashes binary")
+    return sets.repartition("group").sortWithinPartitions("group", "late").mapInArrow(decide, "a long, b long")
+
+
+def verified_links(named: DataFrame, nodes: DataFrame, loose: DataFrame, similarity: float, size: int) -> DataFrame:
+    """Links (a, b) that join all pairs within components of candidates (node, root) that reach the similarity.
+
+    Large components are dealt into blocks of bounded numbers of texts and of shingles. First each block is decided by
+    itself, together with the component's root; what is then joined to the root, as nearly all copies of one text are,
+    need not meet each other. Only the texts that are left meet all blocks, each block of them one group with each block
+    of all, so that every pair of texts that may still be joined meets while no task holds a whole component.
+    """
+    members = staged(loose.union(loose.select(F.col("root").alias("node"), "root").distinct()).join(nodes.select("node", "n"), "node").distinct(), "members")
+    total = members.count()
+    sizes = members.groupBy("root").agg(F.count("*").alias("rows"), F.ceil(F.greatest(F.count("*") / GROUP_TEXTS, F.sum("n") / GROUP_SHINGLES)).cast("int").alias("parts"))
+    sizes = staged(sizes, "sizes")
+    placed = spread_join(members.select("node", "root"), sizes, "root", "rows", total).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    placed = staged(placed, "placed")
+    roots = sizes.where("parts > 1").select(F.col("root").alias("node"), "root", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("own"))
+    diagonal = placed.select("node", "root", "parts", "own").union(roots).distinct()
+    diagonal = diagonal.select("node", F.xxhash64("root", "own").alias("group"), F.col("node").alias("class"), F.lit(False).alias("late"))
+    first = staged(_decided(named, diagonal, similarity, size), "links")
+    if sizes.where("parts > 1").isEmpty():
+        return first
+    classes = placed.where("parts > 1").join(components(first).withColumnRenamed("root", "class"), "node", "left")
+    classes = staged(classes.withColumn("class", F.coalesce("class", "node")), "classes")
+    # The root is the smallest node of its component, so also of its class.
+    left = classes.where("class <> root")
+    rest = left.groupBy("root").agg(F.count("*").alias("rows"), F.ceil(F.count("*") / GROUP_TEXTS).cast("int").alias("others"))
+    if rest.isEmpty():
+        return first
+    others = spread_join(left, rest, "root", "rows", total).withColumn("other", F.pmod(F.xxhash64("node", F.lit(1)), F.col("others")).cast("int"))
+    meets = others.select("node", "root", "class", "other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("own"), F.lit(False).alias("late"))
+    whole = sizes.join(rest.select("root", "others"), "root").select("root", "rows", "others")
+    each = spread_join(classes, whole, "root", "rows", total).select("node", "root", "class", F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("other"), "own", F.lit(True).alias("late"))
+    dealt = meets.unionByName(each.where("class = root")).unionByName(each.where("class <> root").withColumn("late", F.lit(False)))
+    dealt = dealt.select("node", F.xxhash64("root", "other", "own").alias("group"), "class", "late").distinct()
+    return first.union(_decided(named, dealt, similarity, size))
 
 
 def shingles(text: str | None, size: int) -> list[str]:
@@ -253,12 +297,8 @@ def bucket_links(words: np.ndarray, index: Index, dealt: int) -> tuple[np.ndarra
     every = np.arange(n)
     if n <= 48:
         return _block_links(words, every, every, index.distance)
-    if index.inner:
-        balls = [s for k, s in enumerate(index.segments) if k != dealt]
-    else:
-        balls = [(index.segments[dealt][0], index.ball_bits)]
     left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for first, width in balls:
+    for first, width in index.balls(dealt):
         values = _field(words, first, width).astype(np.int64)
         order = np.argsort(values, kind="stable")
         table, starts = np.unique(values[order], return_index=True)
@@ -278,17 +318,43 @@ def bucket_links(words: np.ndarray, index: Index, dealt: int) -> tuple[np.ndarra
 
 def links(nodes: DataFrame, index: Index) -> DataFrame:
     """Forest (a, b) of the links among distinct fingerprints (node long, fp binary)."""
-    size = index.bits // 64
+    size, bar = index.bits // 64, CROWDED
+
+    def dealt_keys(words: np.ndarray, k: int) -> np.ndarray:
+        first, width = index.segments[k]
+        return (_field(words, first + index.ball_bits, width - index.ball_bits).astype(np.int64) << 8) | k
+
+    def count(batches):
+        totals: dict[int, int] = {}
+        for batch in slices(batches):
+            words = np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype="<u8").reshape(-1, size)
+            for k in range(len(index.segments)):
+                for key, n in zip(*(x.tolist() for x in np.unique(dealt_keys(words, k), return_counts=True)), strict=True):
+                    totals[key] = totals.get(key, 0) + n
+        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int64()), pa.array(list(totals.values()), pa.int64())], names=["bucket", "n"])
+
+    crowded = np.empty(0, np.int64)
+    if nodes.count() > bar:  # else no bucket can be; of the dealt rows one in CROWDED makes a crowded one at most
+        sizes = nodes.select("fp").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+        crowded = np.array(sorted(r.bucket for r in sizes.where(F.col("n") > bar).collect()), dtype=np.int64)
 
     def deal(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in slices(batches):
             node = batch.column(0).to_numpy()
             words = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype="<u8").reshape(-1, size)
-            for k, (first, width) in enumerate(index.segments):
-                key = (_field(words, first + index.ball_bits, width - index.ball_bits).astype(np.int64) << 8) | k
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node), batch.column(1)], names=["bucket", "node", "fp"])
+            for k in range(len(index.segments)):
+                keys = dealt_keys(words, k)
+                again = np.isin(keys, crowded)
+                some = pa.array(np.flatnonzero(~again))
+                yield pa.RecordBatch.from_arrays([pa.array(keys[~again]), pa.array(node[~again]), batch.column(1).take(some)], names=["bucket", "node", "fp"])
+                if again.any():
+                    rows, own = np.flatnonzero(again), words[again]
+                    for at, (first, width) in enumerate(index.balls(k)):
+                        values = _field(own, first, width).astype(np.int64)
+                        for flip in (0, *(1 << b for b in range(width))):
+                            # The sign bit tells these buckets apart; the rest is the crowded bucket, the ball and its centre.
+                            name = _mixed(keys[again], at, values ^ flip) | np.int64(-(1 << 63))
+                            yield pa.RecordBatch.from_arrays([pa.array((name & ~np.int64(255)) | k), pa.array(node[rows]), batch.column(1).take(pa.array(rows))], names=["bucket", "node", "fp"])
 
     def search(batches):
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -314,26 +380,36 @@ def links(nodes: DataFrame, index: Index) -> DataFrame:
             x, y = forest(np.concatenate(a), np.concatenate(b))
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            words = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype="<u8").reshape(-1, size)
-            last = int(np.searchsorted(keys, keys[-1]))  # the last bucket may go on in the next batch
-            if last:
-                yield flush([*held, (keys[:last], node[:last], words[:last])])
-                held = []
-            elif held and held[-1][0][-1] != keys[0]:
+        try:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                keys, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                words = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype="<u8").reshape(-1, size)
+                last = int(np.searchsorted(keys, keys[-1]))  # the last bucket may go on in the next batch
+                if last:
+                    yield flush([*held, (keys[:last], node[:last], words[:last])])
+                    held = []
+                elif held and held[-1][0][-1] != keys[0]:
+                    yield flush(held)
+                    held = []
+                held.append((keys[last:], node[last:], words[last:]))
+            if held:
                 yield flush(held)
-                held = []
-            held.append((keys[last:], node[last:], words[last:]))
-        if held:
-            yield flush(held)
+        finally:
+            release()
 
     dealt = nodes.select("node", "fp").mapInArrow(deal, "bucket long, node long, fp binary")
     return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(search, "a long, b long")
 
 
+def _mixed(keys: np.ndarray, at: int, values: np.ndarray) -> np.ndarray:
+    """A hash of (bucket, ball, value); where two collide, rows meet that need not, and complete distances decide."""
+    h = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + values.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(at + 1)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (h ^ (h >> np.uint64(31))).astype(np.int64)
+
+
 def groups(prints: DataFrame, index: Index, id_col: str = "doc_id") -> DataFrame:
     """(id_col, fp, component_id): component_id is the smallest id reachable over links, itself included.
 
@@ -342,7 +418,7 @@ def groups(prints: DataFrame, index: Index, id_col: str = "doc_id") -> DataFrame
     with that fingerprint has an id.
     """
     prints = staged(prints, "prints")
-    nodes = staged(prints.groupBy("fp").agg(F.min(id_col).alias("node")), "nodes")
+    nodes = staged(prints.groupBy("fp").agg(F.min(id_col).alias("node"), F.count("*").alias("n")), "nodes")
     found = components(links(nodes.where(F.col("node").isNotNull()), index))  # node -> smallest node, which is the smallest id of the component
-    named = nodes.join(found, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
-    return prints.join(named, "fp").select(id_col, "fp", "component_id")
+    named = nodes.join(found, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"), "n")
+    return spread_join(prints, named, "fp", "n", prints.count()).select(id_col, "fp", "component_id")
