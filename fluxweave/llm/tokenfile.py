@@ -20,7 +20,6 @@ executors cost a retry and nothing else.
 from __future__ import annotations
 
 import os
-import re
 import struct
 import uuid
 import zlib
@@ -28,6 +27,7 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,9 +41,13 @@ _LEVEL = struct.Struct("<QQQQ")  # entries, places of chunks, bitmap, ranks
 #: Tokens after which a new section begins, bytes after which a new file does, bytes that one task reads back.
 SECTION_TOKENS, FILE_BYTES, TASK_BYTES = 500_000, 256 << 20, 8 << 20
 #: Tokens decoded at once where whole documents allow it; entries after which a memo starts afresh.
-SLICE_TOKENS, MEMO = 250_000, 600_000
-ENDS = frozenset(".,;:!?")  # marks that are a piece of their own after a word
-_ODD_SPACE = re.compile(r"[^\S \n]")
+SLICE_TOKENS, MEMO = 250_000, 300_000
+#: Bytes of texts whose chunks are told apart at once.
+TEXT_BYTES = 8 << 20
+#: Letters of words and marks that are a piece of their own after one.
+LETTERS, MARKS = "[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]", ".,;:!?"
+#: Fixed value: white space other than blanks and line ends, as a class of the RE2 syntax.
+ODD_SPACE = r"[\t\v\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
 def pack(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray) -> bytes:
@@ -137,7 +141,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = plain_specials
         added = [] if plain_specials else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(map(re.escape, added))) if added else None
+        self.special = added
         split, model = self.tokenizer.pre_tokenizer, self.tokenizer.model
         # Only this pre-tokenizer is known to start a new piece at each blank that stands alone.
         self.cuts = isinstance(split, pre_tokenizers.ByteLevel) and self.tokenizer.normalizer is None and not split.add_prefix_space
@@ -151,52 +155,93 @@ class Encoder:
                     self[piece] = found
                 return found
 
-        # How the library writes the bytes of two-byte letters and of blanks and line ends.
+        # How the library writes the bytes of letters beyond ASCII.
         wide = {c: split.pre_tokenize_str(chr(c))[0][0] for c in range(0xAA, 0x250) if chr(c).isalpha()} if self.cuts else {}
 
-        class Chunks(dict):  # of what stands between blanks, with the blank before it or without
+        class Words(dict):  # letters that follow a blank, which are one piece with it
+            def __missing__(self, word: str) -> bytes:
+                if len(self) > MEMO:
+                    self.clear()
+                found = array("I", [t.id for t in model.tokenize("\u0120" + (word if word.isascii() else word.translate(wide)))]).tobytes()
+                if len(word) <= 64:
+                    self[word] = found
+                return found
+
+        class Chunks(dict):  # of any kind, with the blank before them or without
             def __init__(self, blank: str):
-                self.blank, self.mark = blank, "\u0120" if blank else ""
+                self.blank = blank
 
             def __missing__(self, chunk: str) -> bytes:
-                if len(self) > MEMO:
+                if len(self) > MEMO // 4:
                     self.clear()
-                word, _, rest = chunk.partition("\n")
-                if rest and word and not rest[0].isspace() and not word[-1].isspace():  # a line end alone is one piece
-                    found = self[word] + pieces["\u010a"] + heads[rest]
-                else:
-                    word, end = (chunk, "") if chunk[-1:] not in ENDS else (chunk[:-1], chunk[-1:])
-                    if word.isalpha() and (word.isascii() or max(word) < "\u0250"):
-                        found = pieces[self.mark + (word if word.isascii() else word.translate(wide))]  # one piece
-                        if end:
-                            found += pieces[end]
-                    else:
-                        found = b"".join([pieces[p] for p, _ in split.pre_tokenize_str(self.blank + chunk)])
+                found = b"".join([pieces[p] for p, _ in split.pre_tokenize_str(self.blank + chunk)])
                 if len(chunk) <= 64:
                     self[chunk] = found
                 return found
 
         self.pieces = pieces = Pieces()
-        self.chunks, self.heads = Chunks(" "), Chunks("")
-        heads = self.heads
+        self.words, self.chunks, self.heads = Words(), Chunks(" "), Chunks("")
+        self.marks = [pieces[m] for m in MARKS] if self.cuts else []
 
     def plain(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers. A piece never goes on over a blank after something other than
-        white space, so a text in which blanks stand alone is cut before each blank; all others are encoded whole."""
-        if not text:
-            return b""
-        if not self.cuts or "  " in text or "\n " in text or _ODD_SPACE.search(text) or self.special and self.special.search(text):
-            return self.plain(text)
-        first, *rest = text.split(" ")
-        return self.heads[first] + b"".join(map(self.chunks.__getitem__, rest))
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, counts) of texts without nulls, one after the other.
+
+        A piece never goes on over a blank after something other than white space, so a text in which blanks stand alone
+        is cut before each blank; all others are encoded whole. Chunks are told apart in Arrow, each distinct one is
+        looked up once, and ids are gathered by their numbers.
+        """
+        n = len(texts)
+        if not n:
+            return np.empty(0, np.uint32), np.empty(0, np.int64)
+        whole = np.ones(n, dtype=bool)
+        if self.cuts:
+            odd = [pc.match_substring(texts, "  "), pc.match_substring(texts, "\n "), pc.match_substring_regex(texts, ODD_SPACE)]
+            odd += [pc.match_substring(texts, x) for x in self.special]
+            whole = np.logical_or.reduce([o.to_numpy(zero_copy_only=False) for o in odd])
+        chunks = pc.split_pattern(pc.if_else(pa.array(whole), "", texts), " ")
+        offsets = chunks.offsets.to_numpy()
+        first = offsets[:-1] - offsets[0]
+        values = chunks.flatten()
+        heads = [self.plain(texts[i].as_py()) if w else self.heads[h] for i, (w, h) in enumerate(zip(whole.tolist(), values.take(pa.array(first)).to_pylist(), strict=True))]
+        coded = values.dictionary_encode()
+        distinct, codes = coded.dictionary, coded.indices.to_numpy()
+        # A word, or a word and a mark: two entries. All others: one.
+        simple = pc.match_substring_regex(distinct, f"^{LETTERS}+[{MARKS}]?$").to_numpy(zero_copy_only=False)
+        words = distinct.filter(pa.array(simple))
+        stems = pc.utf8_rtrim(words, characters=MARKS)
+        marked = pc.not_equal(pc.binary_length(stems), pc.binary_length(words)).to_numpy(zero_copy_only=False)
+        ends = np.full(len(words), len(MARKS))
+        last = pc.utf8_slice_codeunits(words.filter(pa.array(marked)), start=-1)
+        ends[marked] = pc.index_in(last, pa.array(list(MARKS))).to_numpy(zero_copy_only=False)
+        stems = stems.dictionary_encode()
+        found = [*self.marks, b"", *map(self.words.__getitem__, stems.dictionary.to_pylist())]
+        one, two = np.empty(len(distinct) + n, dtype=np.int32), np.full(len(distinct) + n, len(MARKS), dtype=np.int32)
+        known = np.flatnonzero(simple)
+        one[known] = stems.indices.to_numpy() + len(MARKS) + 1
+        two[known] = ends
+        one[np.flatnonzero(~simple)] = np.arange(len(found), len(found) + len(distinct) - len(known))
+        found += map(self.chunks.__getitem__, distinct.filter(pa.array(~simple)).to_pylist())
+        one[len(distinct) :] = np.arange(len(found), len(found) + n)
+        found += heads
+        codes = codes.astype(np.int32)
+        codes[first] = np.arange(len(distinct), len(distinct) + n)
+        size = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+        begin = np.cumsum(size) - size
+        ids = np.frombuffer(b"".join(found), "<u4")
+        entries = np.empty(2 * len(codes), dtype=np.int32)
+        entries[::2], entries[1::2] = one[codes], two[codes]
+        lengths = size[entries]
+        counts = np.add.reduceat(lengths, 2 * first)
+        at = np.repeat((begin[entries] - np.cumsum(lengths) + lengths).astype(np.int32), lengths)
+        at += np.arange(len(at), dtype=np.int32)
+        return ids[at], counts
 
     def forget(self) -> None:
-        self.pieces.clear()
-        self.chunks.clear()
-        self.heads.clear()
+        for memo in (self.pieces, self.words, self.chunks, self.heads):
+            memo.clear()
         self.tokenizer.model._clear_cache()
 
 
@@ -211,8 +256,6 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0, id_col:
     """
     ordered = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     ordered = ordered.withColumn("tie", F.xxhash64("text")).repartitionByRange("id", "tie").sortWithinPartitions("id", "tie").select("id", "text")
-    end = struct.pack("<I", end_id)
-
     def run(batches):
         from fluxweave.llm import tokenfile
 
@@ -221,33 +264,41 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0, id_col:
         files, base = filesystem(folder)
         part, seq, sink, uri, place = TaskContext.get().partitionId(), 0, None, "", 0
         ids: list[int | None] = []
-        counts: list[int] = []
-        held = bytearray()
+        counts: list[np.ndarray] = []
+        held: list[np.ndarray] = []
+        size = 0
 
         def flush():
-            nonlocal sink, uri, place, seq, ids, counts, held
+            nonlocal sink, uri, place, seq, ids, counts, held, size
             if sink is None or place >= FILE_BYTES:
                 if sink:
                     sink.close()
                 files.create_dir(base, recursive=True)
                 name = f"{part:08d}-{seq:06d}-{uuid.uuid4().hex}.dac"
                 sink, uri, place = files.open_output_stream(f"{base}/{name}", compression=None), f"{folder}/{name}", 0
-            data = pack(ids, np.array(counts, dtype=np.int64), np.frombuffer(held, "<u4"))
+            data = pack(ids, np.concatenate(counts), np.concatenate(held))
             sink.write(data)
-            row = [[part], [seq], [uri], [place], [len(data)], [len(ids)], [sum(counts)]]
+            row = [[part], [seq], [uri], [place], [len(data)], [len(ids)], [size]]
             kinds = [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-            ids, counts, held, seq, place = [], [], bytearray(), seq + 1, place + len(data)
+            ids, counts, held, size, seq, place = [], [], [], 0, seq + 1, place + len(data)
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], names=["part", "seq", "uri", "place", "length", "documents", "tokens"])
 
         try:
-            for batch in slices(batches):
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    found = encoder.encode(text)
-                    ids.append(doc_id)
-                    counts.append(len(found) // 4 + 1)
-                    held += found
-                    held += end
-                    if len(held) >= 4 * SECTION_TOKENS:
+            for batch in gathered(batches, TEXT_BYTES):
+                found, n = encoder.encode(batch.column(1))
+                tokens = np.full(len(found) + len(n), end_id, dtype="<u4")
+                ends = np.cumsum(n + 1)
+                tokens[np.delete(np.arange(len(tokens), dtype=np.int64), ends - 1)] = found
+                names, first = batch.column(0).to_pylist(), 0
+                while first < len(names):  # up to the document that fills the section
+                    taken = int(ends[first - 1]) if first else 0
+                    last = min(len(names), int(np.searchsorted(ends, taken + SECTION_TOKENS - size)) + 1)
+                    ids += names[first:last]
+                    counts.append(n[first:last] + 1)
+                    held.append(tokens[taken : int(ends[last - 1])])
+                    size += int(ends[last - 1]) - taken
+                    first = last
+                    if size >= SECTION_TOKENS:
                         yield flush()
             if ids:
                 yield flush()
@@ -265,6 +316,19 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0, id_col:
     return placed.select("part", "seq", "uri", "place", "length", "documents", "tokens", "start")
 
 
+def gathered(batches, limit: int):
+    """Batches joined or cut to about ``limit`` bytes each."""
+    held, size = [], 0
+    for part in slices(batches, limit):
+        held.append(part)
+        size += part.nbytes
+        if size >= limit:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def opened(source, place: int = 0) -> TokenFile:
     """The section at ``place`` of an open file."""
     return TokenFile(lambda at, size: source.read_at(size, place + at))
