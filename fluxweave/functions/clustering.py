@@ -203,6 +203,30 @@ def template_features(clips: np.ndarray, labels: np.ndarray, most: int | None =
     return clips @ axes[: min(most or len(names), len(names) - 1)].T
 
 
+def template_features_by_channel(clips: np.ndarray, labels: np.ndarray, main: int, channels: int, check: int | None = 100, most: int | None = 5, weighted: bool = True) -> np.ndarray | None:
+    """Each channel of the clips on the chosen axes of its clusters' median templates, the main channel first, without
+    channels that their mean describes better; None with one cluster."""
+    names, counts = np.unique(labels, return_counts=True)
+    if len(names) < 2:
+        return None
+    clips = np.asarray(clips, dtype=np.float64)
+    templates = np.stack([np.median(clips[labels == c], axis=0) for c in names])
+    if weighted:
+        templates = templates * np.sqrt(counts / counts.sum())[:, None]
+    width, found = clips.shape[1] // channels, []
+    for c in [main, *(k for k in range(channels) if k != main)]:
+        part = slice(c * width, (c + 1) * width)
+        axes = pca_axes(templates[:, part])
+        if axes is None:
+            if c == main:
+                return np.zeros((len(clips), 1))
+            continue
+        order, worse = reconstruction_order(templates[:, part], axes, check, most)
+        if c == main or not worse:
+            found.append(clips[:, part] @ axes[:, order])
+    return np.concatenate(found, axis=1)
+
+
 def template_order(templates: np.ndarray, most: int, first: int = 0) -> list[int]:
     """Templates picked one by one so that each overlaps least with those picked before."""
     norm = templates / np.maximum(1e-300, np.linalg.norm(templates, axis=1, keepdims=True))
@@ -214,23 +238,22 @@ def template_order(templates: np.ndarray, most: int, first: int = 0) -> list[int
     return picked
 
 
-def branch(clips: np.ndarray, labels: np.ndarray, features, p_cut: float = 0.01, seed: int = 0) -> np.ndarray:
-    """Re-cluster every cluster on its own features until none splits."""
+def branch(clips: np.ndarray, labels: np.ndarray, features, p_cut: float = 0.01, seed: int = 0, match_size: bool = False, check_splits: bool = False) -> np.ndarray:
+    """Re-cluster every cluster of two events or more on its own features until none splits."""
     labels = dense(labels)
     work = list(np.unique(labels))
     while work:
         c = work.pop()
         rows = np.flatnonzero(labels == c)
-        if len(rows) < 4:
+        if len(rows) < 2:
             continue
         scores = features(clips[rows])
         n = len(rows)
-        sub = merge_clusters(scores, seed_farthest(scores, max(2, min(100, round(n / 1000))), n_random=max(100, round(n / 100)), seed=seed), p_cut, seed=seed)
-        if len(np.unique(sub)) > 1:
-            for k, name in enumerate(np.unique(sub)):
-                if k:
-                    new = labels.max() + 1
-                    labels[rows[sub == name]] = new
-                    work.append(new)
-            work.append(c)
+        sub = merge_clusters(scores, seed_farthest(scores, min(100, round(n / 1000)), n_random=max(100, round(n / 100)), seed=seed), p_cut, match_size=match_size, check_splits=check_splits, seed=seed)
+        names = np.unique(sub)
+        if len(names) > 1:
+            for name in names:
+                new = labels.max() + 1
+                labels[rows[sub == name]] = new
+                work.append(new)
     return dense(labels)

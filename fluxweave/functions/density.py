@@ -135,31 +135,41 @@ class MultinomialTest:
         return float(min(1.0, np.exp(p[p <= seen + 1e-9]).sum()))
 
     def drawn(self, draws: int, threshold: float = 1.0) -> float:
-        """Share of draws no likelier than the observed outcome; stops when the threshold can't be met any more."""
-        seen, hits, done, stop = self.log_probability(self.observed)[0], 0, 0, math.ceil(threshold * draws)
-        while done < draws:
-            size = min(2000, draws - done)
-            hits += int((self.log_probability(self.rng.multinomial(self.n, self.p, size)) <= seen + 1e-9).sum())
-            done += size
+        """Share of ``draws`` that are no likelier than the observed outcome, counted no further than the threshold."""
+        seen, hits, stop = self.log_probability(self.observed)[0], 0, math.ceil(threshold * draws)
+        for done in range(0, draws, 2000):
+            outcomes = self.rng.multinomial(self.n, self.p, min(2000, draws - done))
+            hits += int((self.log_probability(outcomes) <= seen + 1e-9).sum())
             if hits >= stop:
-                break
-        return hits / done if done else 1.0
-
-
-def max_sse_window(observed: np.ndarray, expected: np.ndarray) -> tuple[int, int]:
-    """[start, end) of the run of values whose differences from expectation carry the largest one-signed sum of squares."""
-    d = observed - expected
-    signed = np.sign(d) * d * d
-    best, span = -1.0, (0, len(d))
-    for sign in (1, -1):
-        total, start = 0.0, 0
-        for i, v in enumerate((sign * signed).tolist()):
-            if total <= 0:
-                total, start = 0.0, i
-            total += v
-            if total >= best:
-                best, span = total, (start, i + 1)
-    return span
+                return stop / draws
+        return hits / draws if draws else 1.0
+
+
+def max_sse_window(observed: np.ndarray, expected: np.ndarray) -> tuple[float, int, int]:
+    """(sum of squares, start, end) of the window [start, end) in which observed and expected differ most; of equal
+    windows the last.
+
+    A window opens where the next step of the one is not that of the other (at the first value also where the values
+    differ) and closes after the next place whose steps agree and are not flat, or at the end; the search goes on behind
+    it. Without any window it is the whole range, with a sum of zero.
+    """
+    n = len(observed)
+    if n < 2:
+        return 0.0, 0, n
+    step, wanted = np.diff(observed), np.diff(expected)
+    opens = step != wanted
+    opens[0] |= observed[0] != expected[0]
+    openings = np.flatnonzero(opens)
+    closings = np.append(np.flatnonzero((step == wanted) & (step != 0)), n - 1)
+    best, at = (0.0, 0, n), 0
+    while (k := np.searchsorted(openings, at)) < len(openings):
+        start = int(openings[k])
+        end = int(closings[np.searchsorted(closings, start, side="right")]) + 1
+        total = float(((observed[start:end] - expected[start:end]) ** 2).sum())
+        if total >= best[0]:
+            best = (total, start, end)
+        at = end
+    return best
 
 
 def plateau_middle(values: np.ndarray, at: int, x: np.ndarray) -> float:
@@ -173,48 +183,48 @@ def plateau_middle(values: np.ndarray, at: int, x: np.ndarray) -> float:
 
 
 def iso_cut(x: np.ndarray, p_cut: float, seed: int = 0) -> tuple[float, float | None]:
-    """(p, cut): chance that the values come from one unimodal density, and where to cut if it is below ``p_cut``."""
+    """(p, cut): chance that the values come from one unimodal density, and where to cut if it is below ``p_cut``.
+
+    The density at mesh points, as counts, is held against its best fit that rises and then falls, on the side and in the
+    window where they differ most. The cut lies where the counts fall shortest of the fit, smoothed by such a fit again;
+    of equal places the one nearest to the mode. Where the window reaches the end of the mesh, a far second hump may have
+    been missed by the fit: then it lies before the first place (from the mode's side) at which the fit has its least
+    count and the counts exceed it.
+    """
     n = len(x)
     if n <= 2:
         return 1.0, None
     density, mesh, _ = kde(np.asarray(x, dtype=np.float64), max(2, math.ceil(math.sqrt(n))))
-    if len(mesh) < 2 or density.sum() <= 0:
+    if len(mesh) < 2 or not density.sum() > 0:
         return 1.0, None
-    pdf = density / density.sum()
-    counts = np.around(pdf * n)
-    stay = ~((counts <= 0) & (pdf <= 0))
-    counts, mesh = counts[stay], mesh[stay]
+    density = np.maximum(0, density / density.sum())
+    counts = np.around(density * n).astype(np.int64)
+    stay = (counts > 0) | (density > 0)
+    density, counts, mesh = density[stay], counts[stay], mesh[stay]
     k = len(counts)
-    if k < 2:
-        return 1.0, None
     ramp = np.minimum(np.arange(1, k + 1), np.arange(k, 0, -1)).astype(np.float64)
-    fit, mode = up_down(counts, ramp)
-    null = fit / fit.sum() * counts.sum() if fit.sum() > 0 else fit
-    if np.array_equal(np.around(null, 9), counts):
+    fit, mode = up_down(density, ramp)
+    fit = fit / fit.sum()
+    null = np.around(fit * n).astype(np.int64)
+    if np.array_equal(counts, null):
         return 1.0, None
     if k <= 4:
-        p = MultinomialTest(counts, null, seed).exact() if counts.sum() <= 200 else MultinomialTest(counts, null, seed).drawn(math.ceil(1 / p_cut) * 100, p_cut)
-        return p, plateau_middle(null - counts, int(np.argmax(null - counts)), mesh) if p < p_cut else None
-    sides = []
-    for lo, hi, back in ((0, mode + 1, False), (mode, k, True)):
-        o, e = counts[lo:hi], null[lo:hi]
-        if back:
-            o, e = o[::-1], e[::-1]
-        s, t = max_sse_window(o, e)
-        sides.append((float(((o[s:t] - e[s:t]) ** 2).sum()), lo, hi, s, t, back))
-    left, right = sides
-    _, lo, hi, s, t, back = left if left[0] > right[0] else right
-    if back:
-        s, t = (hi - lo) - t, (hi - lo) - s
-    s, t = lo + s, lo + t
-    if t - s < 2:
-        s, t = max(0, s - 1), min(k, t + 1)
-    test = MultinomialTest(counts[s:t], np.maximum(null[s:t], 1e-12), seed)
+        p = MultinomialTest(counts, np.maximum(fit, 1e-300), seed).exact()
+        short = null - counts
+        return p, plateau_middle(short, int(short.argmax()), mesh) if p < p_cut else None
+    left, left_start, left_end = max_sse_window(counts[: mode + 1], null[: mode + 1])
+    right, from_end, to_end = max_sse_window(counts[mode:][::-1], null[mode:][::-1])
+    on_left = left > right
+    start, end = (left_start, left_end) if on_left else (k - to_end, k - from_end)
+    test = MultinomialTest(counts[start:end], np.maximum(fit[start:end], 1e-300), seed)
     draws = math.ceil(1 / p_cut) * 100
     p = test.exact() if test.log_combinations() <= math.log(draws) else test.drawn(draws, p_cut)
     if p >= p_cut:
         return p, None
-    lo, hi = (0, mode + 1) if not back else (mode, k)
-    dip = up_down((null - counts)[lo:hi] - (null - counts)[lo:hi].min(), np.ones(hi - lo))[0]
-    at = int(np.argmax(dip)) if back else len(dip) - 1 - int(np.argmax(dip[::-1]))
-    return p, plateau_middle(dip, at, mesh[lo:hi])
+    dip, _ = up_down((null - counts)[start:end].astype(np.float64), np.ones(end - start))
+    at = int(dip.argmax()) if not on_left else len(dip) - 1 - int(dip[::-1].argmax())
+    if end == k and 2 * mode != k:
+        missed = np.flatnonzero((null[: len(dip)] == null.min()) & (dip < 0))
+        if len(missed):
+            at = max(0, int(missed[0]) - 1) if 2 * mode < k else min(len(dip) - 1, int(missed[-1]) + 1)
+    return p, plateau_middle(dip, at, mesh[start:end])

@@ -100,13 +100,38 @@ def _section(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray) ->
     return out
 
 
-def filtfilt(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Forward and backward filtering with odd extension at both ends and steady starting states."""
+def impulse_response(b: np.ndarray, a: np.ndarray, least: float = 1e-18) -> np.ndarray:
+    """The filter's response to one impulse, until it has faded below ``least``."""
+    radius = float(np.abs(np.roots(a)).max())
+    n = int(np.ceil(np.log(least) / np.log(radius))) + len(b)
+    return _section(b, a, np.concatenate([[1.0], np.zeros(n)]), np.zeros(2))
+
+
+def _filtered(x: np.ndarray, response: np.ndarray, start: float) -> np.ndarray:
+    """x filtered as if it had always been ``start`` before, by overlapping FFT blocks."""
+    m = len(response)
+    wide = np.concatenate([np.full(m - 1, start), x])
+    size = 1 << int(np.ceil(np.log2(max(2, min(len(wide) + m, 8 * m)))))
+    step, spectrum = size - m + 1, np.fft.rfft(response, size)
+    out = np.empty(len(x))
+    for at in range(0, len(x), step):
+        part = np.fft.irfft(np.fft.rfft(wide[at : at + size], size) * spectrum, size)[m - 1 :]
+        out[at : at + step] = part[: len(out) - at]
+    return out
+
+
+def filtfilt(b: np.ndarray, a: np.ndarray, x: np.ndarray, response: np.ndarray | None = None) -> np.ndarray:
+    """Forward and backward filtering with odd extension at both ends and steady starting states. With the filter's
+    impulse response it is done by FFT, else step by step."""
     x = np.asarray(x, dtype=np.float64)
     pad = min(3 * len(a), len(x) - 1)
     if pad < 1:
         return x.copy()
     wide = np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]])
+    if response is not None:
+        forward = _filtered(wide, response, wide[0])
+        back = _filtered(forward[::-1], response, forward[-1])[::-1]
+        return back[pad : len(back) - pad]
     # Steady state for a unit step in the transposed direct form.
     gain = b.sum() / a.sum()
     steady = np.array([gain - b[0], b[2] - a[2] * gain])
@@ -119,10 +144,3 @@ def ricker(points: int, width: float) -> np.ndarray:
     """Mexican-hat wavelet of unit energy."""
     t = (np.arange(points) - (points - 1) / 2) / width
     return 2 / (math.sqrt(3 * width) * math.pi**0.25) * (1 - t * t) * np.exp(-t * t / 2)
-
-
-def box_smooth(x: np.ndarray, half: int) -> np.ndarray:
-    """Moving average over up to 2 * half + 1 values; the window shrinks at the ends."""
-    sums = np.concatenate([[0.0], np.cumsum(x)])
-    lo, hi = np.maximum(0, np.arange(len(x)) - half), np.minimum(len(x), np.arange(len(x)) + half + 1)
-    return (sums[hi] - sums[lo]) / (hi - lo)

@@ -37,37 +37,57 @@ def apply_shifts(events: DataFrame, shifts: DataFrame, unit: str = "unit", at: s
     return events.join(F.broadcast(shifts), unit, "left").withColumn(at, F.col(at) + F.coalesce("shift", F.lit(0))).drop("shift")
 
 
-def wavelet_centre(clip: np.ndarray, scales: np.ndarray, before: int) -> int | None:
-    """Shift to the centre of the event: the weighted mean place of the best scale's response between the extrema around
-    its peak; None if that lies outside the clip's inner half."""
-    responses = [np.convolve(clip, nummath.ricker(min(len(clip), int(10 * s) | 1), s), mode="same") for s in scales]
-    best = max(responses, key=lambda r: float(np.abs(r[before // 2 : len(clip) - before // 2]).max(initial=0.0)))
-    size = np.abs(best)
-    inner = slice(before // 2, len(clip) - before // 2)
-    peak = int(size[inner].argmax()) + inner.start
-    sign = np.sign(best[peak])
-    lo = hi = peak
-    while lo > 0 and np.sign(best[lo - 1]) == sign:
-        lo -= 1
-    while hi + 1 < len(clip) and np.sign(best[hi + 1]) == sign:
-        hi += 1
-    total = size[lo : hi + 1].sum()
-    centre = int(round(float((size[lo : hi + 1] * np.arange(lo, hi + 1)).sum() / total))) if total else before
-    return centre - before if abs(centre - before) <= before // 2 else None
+def wavelet_scales(fs: float, band: tuple[float, float], before: int, after: int) -> list[float]:
+    """Scales an octave apart, from the band's upper end down to its lower one or to one cycle a window."""
+    centre = max(before, after)
+    spectrum = np.abs(np.fft.fft(nummath.ricker(2 * centre + 1, 1.0))[1:])
+    peak = int(spectrum.argmax()) + 1  # cycles in the window at scale one
+    cycles = min(peak, 2 * centre + 1 - peak) / (2 * centre + 1)
+    low, scale, found = max(band[0], fs / (before + after)), cycles * fs / band[1], []
+    while cycles * fs / scale >= low:
+        found.append(scale)
+        scale *= 2
+    return found or [cycles * fs / band[1]]
+
+
+def _slide(y: np.ndarray, at: int, step: int, sign: int) -> int:
+    """The place where going on from ``at`` no longer strictly rises (sign 1) or falls (-1)."""
+    while 0 <= at + step < len(y) and sign * (y[at + step] - y[at]) > 0:
+        at += step
+    return at
+
+
+def wavelet_centre(clip: np.ndarray, scales: list[float], before: int, after: int) -> int | None:
+    """Shift of an event to the mean place of the response of the scale that answers most, weighted by its size, from one
+    cycle before its extremum to one after; None if that leads out of the window."""
+    centre, top, best = max(before, after), -np.inf, None
+    for scale in scales:
+        response = np.convolve(clip, nummath.ricker(2 * centre + 1, scale), mode="full")
+        peak = response.max() if response.max() > top else -response.min()
+        if peak > top:
+            top, best = peak, response
+    if -best.min() > best.max():
+        best = -best
+    at = int(best.argmax())
+    lo, hi = (_slide(best, _slide(best, at, step, -1), step, 1) for step in (-1, 1))
+    size = np.abs(best[lo : hi + 1])
+    shift = int(np.around(np.average(np.arange(lo, hi + 1), weights=size) if size.any() else at)) - centre - before
+    return shift if -before < shift < after else None
 
 
 def wavelet_align(clips: DataFrame, fs: float, band: tuple[float, float], before: int, keys: tuple[str, ...] = ("channel",)) -> DataFrame:
-    """(keys, event, sample): events moved to their wavelet centres; those that would leave their window are dropped.
-
-    Scales are octaves of the band; a Ricker wavelet of width s has its peak frequency at sqrt(2) / (2 pi s).
-    """
-    top, low = band[1], band[0]
-    octaves = np.arange(0, max(1, int(np.floor(np.log2(top / low))) + 1))
-    scales = fs * np.sqrt(2) / (2 * np.pi * (low * 2.0**octaves))
+    """(keys, event, sample): events (clip: ``before`` samples and the rest after) moved to their wavelet centres; those
+    that would leave their window are dropped."""
 
     def run(batches):
+        scales: dict[int, list[float]] = {}
         for pdf in batches:
-            shift = [wavelet_centre(np.asarray(c, dtype=np.float64), scales, before) for c in pdf["clip"]]
+            shift = []
+            for c in pdf["clip"]:
+                after = len(c) - before
+                if after not in scales:
+                    scales[after] = wavelet_scales(fs, band, before, after)
+                shift.append(wavelet_centre(np.asarray(c, dtype=np.float64), scales[after], before, after))
             out = pdf[[*keys, "event"]].assign(sample=[e if s is None else e + s for e, s in zip(pdf["event"], shift, strict=True)])
             yield out[[s is not None for s in shift]]
 
@@ -88,12 +108,3 @@ def pursuit_clip_width(clips: DataFrame, noise: float, before: int, after: int,
         if max(mean[lo], mean[hi]) < share * noise:
             return b, a
     return int(before * most), int(after * most)
-
-
-def alignment_table(pairs: pd.DataFrame) -> pd.DataFrame:
-    """Best pairs first; a unit follows the first partner it is aligned with."""
-    moved: dict[int, int] = {}
-    for r in pairs.sort_values("score", ascending=False).itertuples():
-        if r.unit_2 not in moved and r.unit_1 not in moved:
-            moved[int(r.unit_2)] = int(r.shift)
-    return pd.DataFrame({"unit": list(moved), "shift": list(moved.values())})

@@ -29,7 +29,10 @@ class SortSettings:
     artifact_tolerance: float = 0.0
     artifact_cushion: tuple[float, float] = (2e-3, 2e-3)
     wiener: bool = True
-    wiener_smoothing: float = 100.0
+    wiener_smoothing: float | None = 100.0
+    same_wiener: bool = False
+    max_mua: float = 0.2
+    min_snr: float = 1.5
     overlap_reach: int = 0
     match_cluster_size: bool = False
     check_splits: bool = False

@@ -7,10 +7,14 @@ comparison of all pairs.
 
 from __future__ import annotations
 
+import functools
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fluxweave.operators.signal import halo
+
 
 def intervals(train: DataFrame, unit: str = "unit") -> DataFrame:
     """``train`` with ``isi``, the distance to the event before in the unit (null for the first)."""
@@ -150,18 +154,36 @@ def fold_groups(rows: DataFrame, keys: list[str], order: list[str], step, schema
     return rows.groupBy(*keys).applyInPandas(run, schema)
 
 
-def dead_time(events: DataFrame, skip: int, keys: list[str], at: str = "sample") -> DataFrame:
-    """Events at least ``skip`` after the last kept one; sequential by nature, so one fold a key."""
+def dead_time(events: DataFrame, skip: int, keys: list[str], at: str = "sample", size: int = 1 << 20) -> DataFrame:
+    """Events at least ``skip`` after the last kept one.
+
+    An event that far after the one before is kept in any case, so only runs of closer events are sequential. Runs are
+    found by block, with a halo of ``skip`` and the last beginning of a run carried from block to block; the runs that
+    begin in a block are one fold.
+    """
+    near = halo(events, skip, 0, size, at)
+    order = Window.partitionBy(*keys, "block").orderBy(at, F.desc("own"))
+    gap = F.col(at) - F.lag(at).over(order)
+    marked = near.withColumn("__start", F.when(F.coalesce(gap >= skip, F.lit(True)), F.col(at))).where("own")
+    inside = Window.partitionBy(*keys, "block").orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
+    marked = marked.withColumn("__run", F.max("__start").over(inside))
+    ahead = Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # one row a block
+    carried = marked.groupBy(*keys, "block").agg(F.max("__start").alias("__last")).withColumn("__carried", F.max("__last").over(ahead)).drop("__last")
+    names, columns = [*keys, "block"], events.columns
+    carried = carried.select(*[F.col(k).alias(f"__{i}") for i, k in enumerate(names)], "__carried")
+    same = [F.col(k).eqNullSafe(F.col(f"__{i}")) for i, k in enumerate(names)]
+    runs = marked.join(carried, functools.reduce(lambda a, b: a & b, same)).withColumn("__run", F.coalesce("__run", "__carried"))
+    runs = runs.withColumn("block", F.floor(F.col("__run") / size).cast("long"))
 
     def step(pdf):
-        keep, last = [], None
-        for k, x in enumerate(pdf[at].tolist()):
-            if last is None or x - last >= skip:
+        keep, last, run = [], None, None
+        for k, (x, r) in enumerate(zip(pdf[at].tolist(), pdf["__run"].tolist(), strict=True)):
+            if r != run or x - last >= skip:
                 keep.append(k)
-                last = x
-        return pdf.iloc[keep]
+                last, run = x, r
+        return pdf.iloc[keep][columns]
 
-    return fold_groups(events, keys, [at], step, events.schema)
+    return fold_groups(runs.select(*columns, "__run", *[c for c in ["block"] if c not in columns]), names, ["__run", at], step, events.schema)
 
 
 def drop_duplicates_by_error(events: DataFrame, tolerance: int, keys: list[str], error: str = "sse") -> DataFrame:

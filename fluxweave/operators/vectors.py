@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fluxweave.operators import signal
+
 MAD = 0.6745
 
 
@@ -233,14 +235,40 @@ def projection_scores(clips: DataFrame, templates: DataFrame, unit: str = "unit"
 def likelihood(templates: DataFrame, voltage: DataFrame, unit: str = "unit") -> DataFrame:
     """(unit, sample, value): -ss / 2 + sum of template * voltage over the window that starts at each sample.
 
-    ``voltage`` (channel, sample, v), ``templates`` (unit, channel, pos, t). Windows not whole are left out.
+    ``voltage`` (channel, sample, v), ``templates`` (unit, channel, pos, t): as many rows as units, channels and a window
+    make, so they go with the task. Blocks of voltage with a halo of a window are correlated with them channel by
+    channel. Windows not whole are left out, missing samples count as zero.
     """
-    width = templates.agg(F.max("pos") + 1).first()[0] or 0
-    total = voltage.agg(F.max("sample").alias("__last"))
-    ss = templates.groupBy(unit).agg(F.sum(F.col("t") * F.col("t")).alias("ss"))
-    parts = voltage.join(F.broadcast(templates), "channel").select(unit, (F.col("sample") - F.col("pos")).alias("sample"), (F.col("t") * F.col("v")).alias("x"))
-    sums = parts.groupBy(unit, "sample").agg(F.sum("x").alias("x")).crossJoin(F.broadcast(total))
-    return sums.where((F.col("sample") >= 0) & (F.col("sample") + width <= F.col("__last"))).join(F.broadcast(ss), unit).select(unit, "sample", (F.col("x") - 0.5 * F.col("ss")).alias("value"))
+    shapes: dict = {}
+    for r in templates.select(unit, "channel", "pos", "t").collect():
+        shapes.setdefault(r[0], {}).setdefault(r["channel"], {})[r["pos"]] = r["t"]
+    width = 1 + max((p for by in shapes.values() for at in by.values() for p in at), default=-1)
+    last = voltage.agg(F.max("sample")).first()[0]
+    kind, size = templates.schema[unit].dataType.simpleString(), signal.SCAN
+    named = {u: {c: np.array([at.get(p, 0.0) for p in range(width)]) for c, at in by.items()} for u, by in shapes.items()}
+
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        first = int(key[0]) * size
+        starts = np.arange(max(first, 0), min(first + size, last - width + 1))
+        names = sorted(pdf["channel"].unique())
+        grid, at = signal._grid(pdf, names)
+        if not len(starts) or not width:
+            return pd.DataFrame({unit: [], "sample": [], "value": []})
+        wide = np.zeros((len(names), len(starts) + width - 1))
+        lo, hi = max(at, starts[0]), min(at + grid.shape[1], starts[0] + wide.shape[1])
+        if hi > lo:
+            wide[:, lo - starts[0] : hi - starts[0]] = np.nan_to_num(grid[:, lo - at : hi - at])
+        out = []
+        for u, by in named.items():
+            value = -0.5 * sum(float((t * t).sum()) for t in by.values()) + np.zeros(len(starts))
+            for c, t in by.items():
+                if c in names:
+                    value += np.correlate(wide[names.index(c)], t, mode="valid")
+            out.append(pd.DataFrame({unit: u, "sample": starts, "value": value}))
+        return pd.concat(out) if out else pd.DataFrame({unit: [], "sample": [], "value": []})
+
+    rows = signal.halo(voltage.select("channel", "sample", F.col("v").cast("double").alias("v")), 0, max(0, width - 1)).drop("own")
+    return rows.groupBy("block").applyInPandas(run, f"{unit} {kind}, sample long, value double")
 
 
 def subtract(voltage: DataFrame, spikes: DataFrame, templates: DataFrame, unit: str = "unit") -> DataFrame:

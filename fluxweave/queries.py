@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fluxweave.functions import clustering, covariance, density
-from fluxweave.operators import alignment, filters, neurons, probes, signal, trains, units, vectors
+from fluxweave.operators import alignment, consolidate, filters, neurons, postprocess, probes, signal, trains, units, vectors
 from fluxweave.operators.settings import SortSettings
 from fluxweave.plans import sorter, views
 from fluxweave.plans.views import CHANNELS, WIDTH
@@ -333,12 +333,12 @@ def template_projection_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.projection_scores(clips, vectors.mean_template(clips)).select("event", "template_unit", _r("score", 7).alias("score"))
 
 
-_LIKE = f"WITH {_SIGNAL}, {_CLIP}, {_MEAN}, k AS (SELECT channel, (row_number() OVER (ORDER BY channel) - 1) AS c FROM (SELECT DISTINCT channel FROM s)), tt AS (SELECT unit, k.channel, pos % 16 AS pos, v AS t FROM m JOIN k ON pos // 16 = c WHERE unit < 4)"
+_LIKE = f"WITH {_SIGNAL}, {_CLIP}, {_MEAN}, k AS (SELECT channel, (row_number() OVER (ORDER BY channel) - 1) AS c FROM (SELECT DISTINCT channel FROM s)), tt AS (SELECT unit, k.channel, pos % 16 AS pos, v AS t FROM m JOIN k ON pos // 16 = c)"
 
 
 def _spread(spark, sf):
     names = views.signal(spark, sf).select("channel").distinct().withColumn("c", F.row_number().over(Window.orderBy("channel")) - 1)
-    t = vectors.mean_template(views.clips(spark, sf)).where("unit < 4").select("unit", F.posexplode("template").alias("at", "t"))
+    t = vectors.mean_template(views.clips(spark, sf)).select("unit", F.posexplode("template").alias("at", "t"))
     return t.withColumn("c", F.floor(F.col("at") / WIDTH)).join(names, "c").select("unit", "channel", (F.col("at") % WIDTH).alias("pos"), "t")
 
 
@@ -355,6 +355,47 @@ def residual_voltage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.subtract(views.signal(spark, sf_dir), spikes, t).select("channel", "sample", _r("v").alias("v"))
 
 
+_WEAK = f"WITH {_CLIP}, {_MEAN}, r AS (SELECT unit, pos // 16 AS ch, (max(v) - min(v)) / 0.1 AS snr FROM m GROUP BY 1, 2)"
+
+
+def _with_snr(spark, sf):
+    t = vectors.mean_template(views.clips(spark, sf))
+    part = lambda c: vectors.channel_slice(F.col("template"), c, WIDTH)
+    return t.withColumn("snr", F.array(*[(F.array_max(part(c)) - F.array_min(part(c))) / 0.1 for c in range(CHANNELS)]))
+
+
+@query(_WEAK + " SELECT unit, pos, round(CASE WHEN snr < 1 THEN 0 ELSE v END, 8) AS v FROM m JOIN r USING (unit) WHERE pos // 16 = ch")
+def zero_weak_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = consolidate.zero_weak_channels(_with_snr(spark, sf_dir), 1.0)
+    return out.select("unit", F.posexplode("template").alias("pos", "v")).select("unit", "pos", _r("v", 8).alias("v"))
+
+
+@query(_WEAK + " SELECT unit, pos, round(CASE WHEN snr < 1 THEN 0 ELSE 2 * v END, 8) AS v FROM m JOIN r USING (unit) WHERE pos // 16 = ch")
+def set_pursuit_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = _with_snr(spark, sf_dir)
+    new = u.select("unit", F.transform("template", lambda x: 2 * x).alias("template"))
+    out = consolidate.with_templates(u, new, ("unit",), 1.0)
+    return out.select("unit", F.posexplode("template").alias("pos", "v")).select("unit", "pos", _r("v", 8).alias("v"))
+
+
+@query(f"WITH {_STATS} SELECT unit, row_number() OVER (ORDER BY unit) - 1 AS label FROM st WHERE NOT 2 * (-0.5 * ss + 1.0 * sqrt(variance)) > 0.5 * ss")
+def noise_units_deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consolidate.delete_noise_units(vectors.separability(_stats(spark, sf_dir), 1.0, None)).select("unit", "label")
+
+
+@query("SELECT range AS unit, (SELECT count(*) FROM events WHERE user_id = range) AS n_spikes FROM range(200)")
+def unit_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = views.table(spark, sf_dir, "events").select(F.col("user_id").alias("unit"))
+    return consolidate.add_counts(spark.range(200).select(F.col("id").alias("unit")), e)
+
+
+@query(f"WITH {_CLIP}, {_MEAN} SELECT event, p.pos, round(p.v * 0.5 + m.v, 8) AS v FROM p JOIN m USING (unit, pos)")
+def adjusted_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clips = views.clips(spark, sf_dir)
+    out = consolidate.adjusted_clips(clips.withColumn("clip", F.transform("clip", lambda x: x * 0.5)), vectors.mean_template(clips))
+    return out.select("event", F.posexplode("clip").alias("pos", "v")).select("event", "pos", _r("v", 8).alias("v"))
+
+
 # --- units ----------------------------------------------------------------------------------------------------------
 
 _UNITS = "u AS (SELECT user_id AS unit, count(*) AS n, avg(value) / 20 AS snr, CASE WHEN user_id % 11 = 0 THEN NULL ELSE stddev_pop(value) / 400 END AS mua, (max(epoch(ts)) - min(epoch(ts))) / 3600 AS duration FROM events GROUP BY 1)"
@@ -393,6 +434,22 @@ def quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return units.quality_score(_units(spark, sf_dir)).select("unit", _r("quality").alias("quality"))
 
 
+def _quality(spark, sf):
+    return _units(spark, sf).withColumn("seg", F.lit(0)).withColumn("channel", (F.col("unit") % 4).cast("int"))
+
+
+@query(f"WITH {_UNITS}, b AS (SELECT unit FROM u WHERE coalesce(mua > 0.08, false) OR snr < 2) SELECT event_id FROM events WHERE user_id NOT IN (SELECT unit FROM b)")
+def bad_units_deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = views.table(spark, sf_dir, "events").select("event_id", F.lit(0).alias("seg"), (F.col("user_id") % 4).cast("int").alias("channel"), F.col("user_id").alias("unit"))
+    return postprocess.delete_bad_units(e, _quality(spark, sf_dir), 0.08, 2.0)[0].select("event_id")
+
+
+@query(f"WITH {_UNITS}, b AS (SELECT *, CASE WHEN mua > 0.08 THEN 'mua' WHEN snr < 2 THEN 'snr' END AS why, (unit % 4)::INTEGER AS channel FROM u) SELECT why, channel, unit FROM b WHERE why IS NOT NULL QUALIFY row_number() OVER (PARTITION BY why ORDER BY CASE WHEN why = 'mua' THEN mua ELSE -snr END, channel, unit) = 1")
+def nearest_deleted_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = views.table(spark, sf_dir, "events").select(F.lit(0).alias("seg"), (F.col("user_id") % 4).cast("int").alias("channel"), F.col("user_id").alias("unit"))
+    return postprocess.nearest_removed(postprocess.delete_bad_units(e, _quality(spark, sf_dir), 0.08, 2.0)[1]).select("why", "channel", "unit")
+
+
 @query("SELECT event_id, dense_rank() OVER (PARTITION BY event_type ORDER BY user_id) - 1 AS unit FROM events")
 def dense_relabel(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = views.table(spark, sf_dir, "events").select("event_id", "event_type", F.col("user_id").alias("unit"))
@@ -415,9 +472,9 @@ def redundant_pair_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return units.redundant_pairs(pairs, 0.1)
 
 
-@query("WITH RECURSIVE k AS (SELECT DISTINCT (event_id // 1000)::INTEGER AS seg, user_id AS unit FROM events WHERE user_id < 40), c(seg, unit, root_seg, root_unit) AS (SELECT seg, unit, seg, unit FROM k WHERE NOT EXISTS (SELECT 1 FROM k p WHERE p.seg = k.seg - 1 AND p.unit = k.unit) UNION ALL SELECT k.seg, k.unit, c.root_seg, c.root_unit FROM c JOIN k ON k.seg = c.seg + 1 AND k.unit = c.unit) SELECT * FROM c")
+@query("WITH RECURSIVE k AS (SELECT DISTINCT (event_id // 1000)::INTEGER AS seg, user_id AS unit FROM events), c(seg, unit, root_seg, root_unit) AS (SELECT seg, unit, seg, unit FROM k WHERE NOT EXISTS (SELECT 1 FROM k p WHERE p.seg = k.seg - 1 AND p.unit = k.unit) UNION ALL SELECT k.seg, k.unit, c.root_seg, c.root_unit FROM c JOIN k ON k.seg = c.seg + 1 AND k.unit = c.unit) SELECT * FROM c")
 def unit_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = views.table(spark, sf_dir, "events").where("user_id < 40").select(F.floor(F.col("event_id") / 1000).cast("int").alias("seg"), F.col("user_id").alias("unit")).distinct()
+    k = views.table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 1000).cast("int").alias("seg"), F.col("user_id").alias("unit")).distinct()
     nxt = k.select((F.col("seg") - 1).alias("seg"), F.col("unit").alias("unit_2"))
     links = k.join(nxt.withColumn("unit", F.col("unit_2")), ["seg", "unit"]).select("seg", F.col("unit").alias("unit_1"), "unit_2")
     n = k.agg(F.max("seg")).first()[0]
@@ -425,7 +482,7 @@ def unit_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("WITH u AS (SELECT event_type AS unit, list((epoch(date_trunc('second', ts)) - 1704067200)::BIGINT ORDER BY ts) AS samples FROM events GROUP BY 1), r AS (SELECT row_number() OVER (ORDER BY unit) - 1 AS id, samples FROM u) SELECT id::INTEGER AS id, (id + 1)::INTEGER AS channel, len(samples) AS n, samples[1] + 1 AS first, list_sum(samples)::BIGINT + len(samples) AS total FROM r")
-def neuroviz_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+def viewer_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = views.train(spark, sf_dir).groupBy("unit").agg(F.array_sort(F.collect_list("idx")).alias("samples"))
     ids = g.select("unit").withColumn("id", (F.row_number().over(Window.orderBy("unit")) - 1).cast("int"))
     rows = g.join(ids, "unit").select("id", F.array("id").alias("channel"), "samples", F.array(F.lit(0.0)).alias("template"), F.array("id").alias("neighbors"), F.lit(1.0).alias("snr"))
@@ -484,9 +541,11 @@ def binary_pursuit_spikes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(seg, unit, sample): templates of the clip view matched to the signal view."""
     s = views.signal(spark, sf_dir)
     names = s.select("channel").distinct().withColumn("c", F.row_number().over(Window.orderBy("channel")) - 1)
-    v = s.join(names, "channel").where(F.col("c") < CHANNELS).select(F.lit(0).alias("seg"), F.col("c").alias("channel"), "sample", ((F.col("v") - 35) / 1000).alias("v"))
-    t = vectors.mean_template(views.clips(spark, sf_dir)).select(F.lit(0).alias("seg"), "unit", "template")
-    return sorter.match(v, t, [(0, 1 << 40)], CHANNELS, WIDTH, SortSettings(sigma_noise=0.5))
+    n = names.count()  # event types; templates say nothing about those beyond the clip view's channels
+    v = s.join(names, "channel").select(F.lit(0).alias("seg"), F.col("c").alias("channel"), "sample", ((F.col("v") - 35) / 1000).alias("v"))
+    rest = F.array_repeat(F.lit(0.0), max(0, n - CHANNELS) * WIDTH)
+    t = vectors.mean_template(views.clips(spark, sf_dir)).select(F.lit(0).alias("seg"), "unit", F.slice(F.concat("template", rest), 1, n * WIDTH).alias("template"))
+    return sorter.match(v, t, [(0, 1 << 40)], n, WIDTH, SortSettings(sigma_noise=0.5))
 
 
 @query()
@@ -529,12 +588,37 @@ def overlap_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def redundant_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(seg, unit) of users whose events coincide with a cleaner user's beyond chance."""
-    u = _units(spark, sf_dir).select(F.lit(0).alias("seg"), "unit", F.coalesce("mua", F.lit(float("nan"))).alias("mua"), "snr", "n")
-    c = trains.pair_correlograms(views.train(spark, sf_dir, "user_id"), 3, 7200).where("unit_1 < unit_2")
-    pairs = c.groupBy("unit_1", "unit_2").agg(F.max(F.when(F.col("lag") == 0, F.col("n"))).alias("ratio"), (F.max("n") - F.min("n")).cast("double").alias("delta_max"))
-    pairs = pairs.where("ratio is not null").select(F.lit(0).alias("seg"), "unit_1", "unit_2", F.col("ratio").cast("double").alias("ratio"), "delta_max", F.lit(float("nan")).alias("union_mua"))
-    return units.drop_redundant(u, pairs)
+    """(seg, unit) of users whose events coincide with a cleaner user's beyond chance; each user has a channel."""
+    own = F.col("unit").cast("int").alias("channel")
+    e = views.train(spark, sf_dir, "user_id").select(F.lit(0).alias("seg"), own, "unit", F.col("idx").alias("sample"))
+    quality = _units(spark, sf_dir).select(F.lit(0).alias("seg"), own, "unit", "mua", "snr", "n")
+    return postprocess.redundant_by_segment(e, quality, postprocess.coincidences(e, 3600), 0.5).select("seg", "unit")
+
+
+@query()
+def wavelet_aligned_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = views.signal(spark, sf_dir)
+    clips = signal.clips(s, signal.crossings(s, _thr(spark, sf_dir)), 10, 11)
+    return alignment.wavelet_align(clips, 1.0, (0.02, 0.3), 10)
+
+
+@query()
+def noise_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(channel, i, j, cov) of random windows of each channel."""
+    cov = consolidate.noise_covariance(views.signal(spark, sf_dir), 4, 5, 500)
+    rows = cov.select("channel", F.posexplode("cov").alias("i", "row"))
+    return rows.select("channel", "i", F.posexplode("row").alias("j", "cov"))
+
+
+@query()
+def sharpened_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(seg, channel, unit, n) of the clip view's units, consolidated over the channels on which their templates peak."""
+    clips = views.clips(spark, sf_dir)
+    peak = vectors.mean_template(clips).select("unit", vectors.peak_channel("template", WIDTH).alias("channel"))
+    rows = clips.join(peak, "unit").select(F.lit(0).alias("seg"), "channel", "unit", (F.col("event") * 100).alias("sample"), "clip")
+    thr = spark.range(CHANNELS).select(F.lit(0).alias("seg"), F.col("id").cast("int").alias("channel"), F.lit(0.01).alias("threshold"))
+    out = consolidate.sharpen_across_channels(rows, thr, CHANNELS, 4.0, 1, 3, 0.01)
+    return out.select("seg", "channel", "unit", "n")
 
 
 @query(f"WITH {_CLIP}, {_MEAN} SELECT unit, (list_position(list_transform(template, lambda x: abs(x)), list_max(list_transform(template, lambda x: abs(x)))) - 1 - 20)::INTEGER AS shift FROM tm")
@@ -550,12 +634,12 @@ def align_events_with_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align_to_template(rows, t).select("event", F.col("sample").cast("long").alias("sample"))
 
 
-_SEGS = "u AS (SELECT DISTINCT (event_id // 2000)::INTEGER AS seg, event_type AS channel, user_id AS label, (event_id // 2000) * 100000 + user_id * 10 + length(event_type) AS unit FROM events WHERE user_id < 50)"
+_SEGS = "u AS (SELECT DISTINCT (event_id // 2000)::INTEGER AS seg, event_type AS channel, user_id AS label, (event_id // 2000) * 100000 + user_id * 10 + length(event_type) AS unit FROM events)"
 
 
 def _segs(spark, sf):
     seg = F.floor(F.col("event_id") / 2000).cast("int")
-    e = views.table(spark, sf, "events").where("user_id < 50")
+    e = views.table(spark, sf, "events")
     return e.select(seg.alias("seg"), F.col("event_type").alias("channel"), F.col("user_id").alias("label"), (seg * 100000 + F.col("user_id") * 10 + F.length("event_type")).alias("unit")).distinct()
 
 
@@ -575,10 +659,3 @@ def pairwise_separability(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = vectors.separability(_stats(spark, sf_dir), 1.0, None)
     confusion = neurons.pairwise_confusion(stats, vectors.mean_template(views.clips(spark, sf_dir)), CHANNELS, WIDTH)
     return neurons.separability_matrix(confusion)
-
-
-@query()
-def wavelet_aligned_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = views.signal(spark, sf_dir)
-    clips = signal.clips(s, signal.crossings(s, _thr(spark, sf_dir)), 10, 11)
-    return alignment.wavelet_align(clips, 1.0, (0.02, 0.3), 10)

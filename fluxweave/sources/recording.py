@@ -7,6 +7,7 @@ from the file's length alone. Spark tables are the exchange format of everything
 from __future__ import annotations
 
 import pickle
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -88,10 +89,72 @@ def write_stage(df: DataFrame, path: str, by: tuple[str, ...] = ("seg",)) -> Dat
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@dataclass(frozen=True)
+class Recording:
+    """Voltage (channel, sample, v) with its sampling rate, number of channels and neighbor table; each change is a new
+    recording."""
+
+    voltage: DataFrame
+    fs: int
+    channels: int
+    neighbors: DataFrame
+
+    @property
+    def n_samples(self) -> int:
+        return int(self.voltage.agg(F.coalesce(F.max("sample") + 1, F.lit(0))).first()[0])
+
+    def get(self, channels: list[int] | None = None, start: int | None = None, end: int | None = None) -> DataFrame:
+        return get_voltage(self.voltage, channels, start, end)
+
+    def set(self, new: DataFrame) -> Recording:
+        return replace(self, voltage=set_voltage(self.voltage, new))
+
+    def with_voltage(self, voltage: DataFrame) -> Recording:
+        """Another voltage on the same probe; its channels must be those of the probe."""
+        names = sorted(r.channel for r in voltage.select("channel").distinct().limit(self.channels + 1).collect())
+        if names != list(range(self.channels)):
+            raise ValueError(f"voltage has channels {names}, the probe has {self.channels}")
+        return replace(self, voltage=voltage)
+
+    def bandpass(self, low: float, high: float) -> Recording:
+        from fluxweave.operators import filters
+
+        return replace(self, voltage=filters.bandpass(self.voltage, low, high, self.fs))
+
+
+def _write(path: str, value, protocol: int | None = None) -> None:
+    files, where = _filesystem(path)
+    with files.open_output_stream(where) as sink:
+        sink.write(pickle.dumps(value, protocol))
+
+
 def write_pickle(neurons: DataFrame, path: str) -> None:
     """The finished neurons as one pickle for a viewer; their number is bounded by what a person looks at."""
-    with open(path, "wb") as sink:
-        pickle.dump([r.asDict(recursive=True) for r in neurons.toLocalIterator()], sink)
+    _write(path, [r.asDict(recursive=True) for r in neurons.toLocalIterator()])
+
+
+def viewer_path(path: str) -> str:
+    """Where a viewer's copy of a neurons' file is put: beside it, with ``_viz``."""
+    stem, dot, kind = path.rpartition(".")
+    return (stem if dot and kind in ("pkl", "pickle") else path) + "_viz.pkl"
+
+
+def write_viewer(neurons: DataFrame, path: str, fs: int, filename: str = "default_fname", only: bool = True) -> None:
+    """Neurons (channel, samples, ..) as a pickle for a viewer that counts channels and samples from one; the first channel
+    stands for the neuron. ``only``: just the viewer's keys, else with all columns. No neurons is an error."""
+    out = []
+    for r in neurons.toLocalIterator():
+        row = r.asDict(recursive=True)
+        channel, samples = row["channel"][0] + 1, np.array(row["samples"], dtype=np.uint32) + 1
+        # The viewer's keys.
+        keys = {
+            "spike_indices__": samples, "filename__": filename, "channel_id__": np.array(channel, dtype=np.uint16),
+            "spike_indices_channel__": np.full(samples.shape, channel, dtype=np.uint16), "type__": "Neuron", "sampling_rate__": fs,
+        }
+        out.append(keys if only else {**row, **keys})
+    if not out:
+        raise ValueError("no neurons")
+    _write(path, out, 3)  # other languages' readers know protocol 3
 
 
 def delete_clips(df: DataFrame) -> DataFrame:

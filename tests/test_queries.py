@@ -41,9 +41,14 @@ def test_matches_sql(spark, duck, name):
 
 
 @pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLES)))
-def test_gives_rows(spark, name):
-    assert queries.QUERIES[name](spark, SF).schema.fields
-    assert queries.QUERIES[name](spark, SF).count() >= 0
+def test_gives_the_same_rows_again(spark, name):
+    """Values of these are held against plain loops in the other test modules."""
+    found = [canon(queries.QUERIES[name](spark, SF).toPandas()) for _ in range(2)]
+    assert found[0] == found[1]
+    assert found[0] or name in MAY_BE_EMPTY
+
+
+MAY_BE_EMPTY = {"redundant_units", "overlap_links", "useful_noise_templates"}
 
 
 def test_redundant_units_judges_users_of_every_id(spark, tmp_path):
