@@ -61,12 +61,19 @@ def cross_products(templates: np.ndarray) -> np.ndarray:
     return out
 
 
+def yields(start: int, window: int, width: int, rechecked: set[int]) -> bool:
+    """Whether a window gives up its event for this pass: it moved to the left of the window, and the window two to the
+    left was rechecked too, so that both might move into the one between."""
+    return start < window * width and window > 1 and window - 2 in rechecked
+
+
 def pursue(v: np.ndarray, templates: np.ndarray, thresholds: np.ndarray, overlap_reach: int = 0, most_passes: int = 1000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(units, starts, residual): events added window by window until none passes its threshold.
 
     A pass looks at windows as long as a template; the best event of a window is added if it starts inside it and beats
     those of the windows beside it that reach into it, and its template is subtracted. With ``overlap_reach`` the best
-    event is first weighed against sums of two templates, of which the likelier one is added. Subtracting changes the
+    event is first weighed against sums of two templates, of which the likelier one is added; of two that might move into
+    the same window the left one goes first. Subtracting changes the
     likelihoods nearby by known inner products of templates, and only windows nearby are looked at again.
     """
     units, _, width = templates.shape
@@ -98,6 +105,7 @@ def pursue(v: np.ndarray, templates: np.ndarray, thresholds: np.ndarray, overlap
             chosen = chosen[np.concatenate([[True], np.diff(chosen) > 1])]
         if not len(chosen):
             break
+        rechecked = set(chosen.tolist()) if overlap_reach else set()
         for w in chosen.tolist():
             start, unit = w * width + int(place[w]), int(best_unit[w])
             if overlap_reach:
@@ -106,6 +114,8 @@ def pursue(v: np.ndarray, templates: np.ndarray, thresholds: np.ndarray, overlap
                     other, at = max((one, two), key=lambda x: value[x[0], x[1]] if x[1] < last else -np.inf)
                     if value[other, at] > thresholds[other]:
                         unit, start = other, int(at)
+                if yields(start, w, width, rechecked):
+                    continue  # it is looked at again in the next pass, with what is beside it
             residual[:, start : start + width] -= templates[unit]
             found_units.append(unit)
             found_starts.append(start)

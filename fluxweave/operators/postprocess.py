@@ -108,14 +108,35 @@ def coincidences(events: DataFrame, overlap_samples: int, neighbors: DataFrame |
                       (F.greatest(F.get("c", F.lit(9)), F.get("c", F.lit(11))) / n).alias("expected"), (F.get("c", F.lit(10)) / n).alias("actual"), (step / n).alias("delta_max"))
 
 
-def redundant_by_segment(events: DataFrame, quality: DataFrame, pairs: DataFrame, limit: float = 5.0) -> DataFrame:
+def union_contamination(events: DataFrame, pairs: DataFrame, fs: float, tolerance: int, refractory: int) -> DataFrame:
+    """``pairs`` (seg, unit_1, unit_2, ..) with ``union_mua``, the contamination that the two units' events would have as
+    one train: all of the second, and those of the first that are not near one of them. Buckets meet by an equi-join."""
+    names = ["seg", "unit_1", "unit_2"]
+    e = events.select("seg", F.struct("channel", "unit").alias("u"), F.col("sample").alias("idx"))
+    asked = pairs.select(*names)
+    first, second = (asked.join(e.withColumnRenamed("u", k), ["seg", k]).select(*names, "idx") for k in ("unit_1", "unit_2"))
+    w = tolerance + 1
+    left = first.withColumn("b", F.floor(F.col("idx") / w))
+    near = second.select(*names, F.col("idx").alias("other"), F.explode(F.array(*[F.floor(F.col("idx") / w) + d for d in (-1, 0, 1)])).alias("b"))
+    pair = F.col("left.seg") == F.col("near.seg")
+    for k in ("unit_1", "unit_2", "b"):
+        pair &= F.col(f"left.{k}") == F.col(f"near.{k}")
+    alone = left.alias("left").join(near.alias("near"), pair & (F.abs(F.col("left.idx") - F.col("near.other")) <= tolerance), "left_anti").select(*names, "idx")
+    train = alone.unionByName(second).select(F.struct(*names).alias("unit"), "idx")
+    report = trains.isi_report(train, fs, tolerance, refractory).select("unit.seg", "unit.unit_1", "unit.unit_2", F.col("fraction_mua").alias("union_mua"))
+    return pairs.join(report, names, "left")
+
+
+def redundant_by_segment(events: DataFrame, quality: DataFrame, pairs: DataFrame, limit: float = 5.0, union: tuple[float, int, int] | None = None) -> DataFrame:
     """(seg, channel, unit) of the units of a segment that repeat a better one. ``quality`` has (seg, channel, unit, mua,
-    snr, n), ``pairs`` comes from ``coincidences``."""
+    snr, n), ``pairs`` comes from ``coincidences``; with ``union`` (rate, tolerance, refractory samples) a pair that is
+    cleaner apart than together is told by its joined train."""
     numbered = quality.withColumn("id", (F.row_number().over(Window.partitionBy("seg").orderBy("channel", "unit")) - 1).cast("long"))
     ids = numbered.select("seg", F.struct("channel", "unit").alias("u"), "id")
     bad = units.redundant_pairs(pairs, limit)
+    bad = bad.withColumn("union_mua", F.lit(float("nan"))) if union is None else union_contamination(events, staged(bad, "pairs"), *union)
     bad = bad.join(ids.select("seg", F.col("u").alias("unit_1"), F.col("id").alias("id_1")), ["seg", "unit_1"]).join(ids.select("seg", F.col("u").alias("unit_2"), F.col("id").alias("id_2")), ["seg", "unit_2"])
-    bad = bad.select("seg", F.col("id_1").alias("unit_1"), F.col("id_2").alias("unit_2"), F.col("actual").alias("ratio"), "delta_max", F.lit(float("nan")).alias("union_mua"))
+    bad = bad.select("seg", F.col("id_1").alias("unit_1"), F.col("id_2").alias("unit_2"), F.col("actual").alias("ratio"), "delta_max", F.coalesce("union_mua", F.lit(float("nan"))).alias("union_mua"))
     lean = numbered.select("seg", F.col("id").alias("unit"), F.coalesce(F.col("mua").cast("double"), F.lit(float("nan"))).alias("mua"), F.col("snr").cast("double").alias("snr"), F.col("n").cast("long").alias("n"))
     gone = units.drop_redundant(lean, bad)
     return numbered.join(gone.withColumnRenamed("unit", "id"), ["seg", "id"]).select("seg", "channel", "unit")
@@ -173,7 +194,7 @@ def across_channels(events: DataFrame, quality: DataFrame, links: DataFrame, seg
     where these leave them free, over coincident events in the time that neighboring segments share."""
     if len(segments) > 1 and segments[1][0] >= segments[0][1]:
         raise ValueError("segments must share time to be joined across channels")
-    gone = redundant_by_segment(events, quality, coincidences(events, half_clip), limit)
+    gone = redundant_by_segment(events, quality, coincidences(events, half_clip), limit, (fs, min(half_clip, refractory - 1), refractory))
     kept = staged(events.join(staged(gone, "gone"), ["seg", "channel", "unit"], "left_anti"), "kept")
     there = kept.select("seg", "channel", "unit").distinct()
     alive = links.join(there.withColumnRenamed("unit", "unit_1"), ["seg", "channel", "unit_1"], "left_semi")

@@ -363,6 +363,27 @@ def test_coincidences_equal_those_of_pairs(spark):
         assert np.allclose(values, (want.expected, want.actual, want.delta_max)), (a, b)
 
 
+def test_contamination_of_joined_trains(spark):
+    from fluxweave.operators import units
+
+    rng = np.random.default_rng(18)
+    data = [(0, c, u, int(x)) for c in (0, 1) for u in (0, 1) for x in rng.choice(3000, 120, replace=False)]
+    events = spark.createDataFrame(data, "seg int, channel int, unit long, sample long")
+    pairs = spark.createDataFrame([(0, (0, 0), (1, 0)), (0, (0, 1), (1, 0)), (0, (0, 0), (1, 1))], "seg int, unit_1 struct<channel:int,unit:long>, unit_2 struct<channel:int,unit:long>")
+    train = lambda c, u: events.where((F.col("channel") == c) & (F.col("unit") == u)).select(F.lit(0).alias("unit"), F.col("sample").alias("idx"))
+    got = rows(postprocess.union_contamination(events, pairs, 10.0, 3, 20), "unit_1", "unit_2", "union_mua")
+    assert len(got) == 3
+    for a, b, mua in got:
+        want = trains.isi_report(units.union_mua(train(*a), train(*b), 3), 10.0, 3, 20).first().fraction_mua
+        assert abs(mua - want) < 1e-12 and mua > 0
+
+
+def test_the_right_one_of_two_windows_yields():
+    from fluxweave.functions import pursuit
+
+    assert pursuit.yields(95, 5, 20, {3, 5}) and not pursuit.yields(95, 5, 20, {5}) and not pursuit.yields(100, 5, 20, {3, 5}) and not pursuit.yields(5, 1, 20, {1, -1})
+
+
 def test_neurons_over_segments_and_channels(spark):
     rng = np.random.default_rng(17)
     one, two = (np.sort(rng.choice(np.arange(0, 200_000, 7), 900, replace=False)) for _ in range(2))

@@ -41,11 +41,10 @@ def test_matches_sql(spark, duck, name):
 
 
 @pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLES)))
-def test_gives_the_same_rows_again(spark, name):
+def test_gives_rows(spark, name):
     """Values of these are held against plain loops in the other test modules."""
-    found = [canon(queries.QUERIES[name](spark, SF).toPandas()) for _ in range(2)]
-    assert found[0] == found[1]
-    assert found[0] or name in MAY_BE_EMPTY
+    found = queries.QUERIES[name](spark, SF).toPandas()
+    assert len(found.columns) and (len(found) or name in MAY_BE_EMPTY)
 
 
 MAY_BE_EMPTY = {"redundant_units", "overlap_links", "useful_noise_templates"}
