@@ -90,21 +90,24 @@ def coincidences(events: DataFrame, overlap_samples: int, neighbors: DataFrame |
     shares of coincident bins at lag zero and one, and the largest step of the correlogram. Bins meet by equi-joins."""
     width = max(1, 2 * overlap_samples)
     named = events.select(F.struct("seg", "channel", "unit").alias("unit"), F.col("sample").alias("idx"))
-    bins = trains.bins(named, width)
+    sizes = named.groupBy("unit").agg(F.count("*").alias("n")).withColumn("id", F.row_number().over(Window.orderBy("unit")))  # one row a unit
+    sizes = staged(sizes, "sizes")
+    # Pairs are counted by numbers of units, which are small beside the units' names.
+    bins = trains.bins(named, width).join(sizes.select("unit", "id"), "unit").select("id", F.col("unit.seg").alias("seg"), F.col("unit.channel").alias("channel"), "bin")
     lags = F.explode(F.sequence(F.lit(-10), F.lit(10)))
-    left = bins.select(F.col("unit").alias("a"), F.col("unit.seg").alias("seg"), "bin", lags.alias("lag")).withColumn("bin", F.col("bin") + F.col("lag"))
-    right = bins.select(F.col("unit").alias("b"), F.col("unit.seg").alias("seg"), "bin")
-    hits = left.join(right, ["seg", "bin"]).where((F.col("a") < F.col("b")) & (F.col("a.channel") != F.col("b.channel")))
+    left = bins.select(F.col("id").alias("a"), "seg", F.col("channel").alias("c1"), "bin", lags.alias("lag")).withColumn("bin", F.col("bin") + F.col("lag"))
+    right = bins.select(F.col("id").alias("b"), "seg", F.col("channel").alias("c2"), "bin")
+    hits = left.join(right, ["seg", "bin"]).where("a < b and c1 <> c2")
     if neighbors is not None:
-        hits = hits.join(F.broadcast(neighbors.select(F.col("channel").alias("c1"), F.col("neighbor").alias("c2"))), (F.col("a.channel") == F.col("c1")) & (F.col("b.channel") == F.col("c2")), "left_semi")
-    counts = hits.groupBy("a", "b", "lag").agg(F.count("*").alias("n")).groupBy("a", "b").agg(F.map_from_entries(F.collect_list(F.struct("lag", "n"))).alias("by"))
+        hits = hits.join(F.broadcast(neighbors.select(F.col("channel").alias("c1"), F.col("neighbor").alias("c2"))), ["c1", "c2"], "left_semi")
+    counts = hits.groupBy("a", "b", "lag").agg(F.count("*").cast("int").alias("n")).groupBy("a", "b").agg(F.map_from_entries(F.collect_list(F.struct("lag", "n"))).alias("by"))
     line = F.transform(F.sequence(F.lit(-10), F.lit(10)), lambda k: F.coalesce(F.try_element_at(F.col("by"), k), F.lit(0)))
     counts = counts.withColumn("c", line)
     step = F.array_max(F.transform(F.sequence(F.lit(1), F.lit(20)), lambda k: F.when((k == 10) | (k == 11), 0).otherwise(F.abs(F.get("c", k) - F.get("c", k - 1)))))
-    sizes = named.groupBy("unit").agg(F.count("*").alias("n"))
-    out = counts.join(sizes.select(F.col("unit").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("unit").alias("b"), F.col("n").alias("nb")), "b")
+    names = lambda k: sizes.select(F.col("id").alias(k), F.col("unit").alias(f"u{k}"), F.col("n").alias(f"n{k}"))
+    out = counts.join(names("a"), "a").join(names("b"), "b")
     n = F.least("na", "nb")
-    return out.select(F.col("a.seg").alias("seg"), F.struct("a.channel", "a.unit").alias("unit_1"), F.struct("b.channel", "b.unit").alias("unit_2"),
+    return out.select(F.col("ua.seg").alias("seg"), F.struct("ua.channel", "ua.unit").alias("unit_1"), F.struct("ub.channel", "ub.unit").alias("unit_2"),
                       (F.greatest(F.get("c", F.lit(9)), F.get("c", F.lit(11))) / n).alias("expected"), (F.get("c", F.lit(10)) / n).alias("actual"), (step / n).alias("delta_max"))
 
 
