@@ -4,26 +4,31 @@ The vocabulary goes into an Aho-Corasick automaton over bytes mapped to Latin-1.
 to right by the longest match that is compatible with the token before it; where none is, the next shorter one is
 tried, and where none is left the search steps back. Two tokens are compatible exactly if merging their joined bytes
 gives these two again, and a sequence of pairwise compatible tokens is the sequence that the merges give.
-Compatibility is memoised, as are whole chunks of text.
+Compatibility is memoised, as are whole chunks of text, of which each distinct one is looked up once for many texts.
 
-Null and empty texts give no tokens. Repeated rows give repeated rows. Texts are never cut.
+Null and empty texts give no tokens, an empty table gives no rows. Repeated rows give repeated rows. Texts are never cut,
+however long. Other columns of the table are not looked at, whatever their names.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import re
 from array import array
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
+from fluxweave.llm.chunks import MARKS, gathered_ids, odd_texts, places
 from fluxweave.llm.common import per_batch
 
 #: Entries after which a memo table starts afresh; bounds memory, not results.
 MEMO = 250_000
-_ODD_SPACE = re.compile(r"[^\S \n]")
+#: Fixed value: the pattern by which letters after a blank are one piece, and a mark after them is one.
+PLAIN_WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -69,7 +74,20 @@ class Codec:
                     self[piece] = found
                 return found
 
-        self.spaced, self.pieces = Spaced(), Pieces()
+        class Words(dict):  # letters after a blank, as one piece
+            def __missing__(self, word: str) -> bytes:
+                if len(self) > MEMO:
+                    self.clear()
+                found = array("I", codec.encode_piece(f" {word}".encode())).tobytes()
+                if len(word) <= 64:
+                    self[word] = found
+                return found
+
+        self.spaced, self.pieces, self.words = Spaced(), Pieces(), Words()
+        plain = pattern == PLAIN_WORDS and all(m.encode() in ranks for m in MARKS)
+        self.marks = [array("I", [ranks[m.encode()]]).tobytes() for m in MARKS] if plain else None
+        self.sizes = np.array([len(b) for b in self.bytes_of], dtype=np.int64)
+        self.blob = np.frombuffer(b"".join(self.bytes_of), np.uint8)
 
     def merge(self, text: str) -> list[str]:
         """Plain merging of Latin-1 text, lowest rank first; a whole token is left in its two last parts."""
@@ -148,14 +166,22 @@ class Codec:
                 raise ValueError("the vocabulary lacks a byte of this text")
         return ids
 
+    def plain(self, text: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, self.pattern.findall(text)))
+
+    def encode_many(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, counts) of texts without nulls, one after the other."""
+        return gathered_ids(texts, odd_texts(texts), self.plain, self.plain, self.spaced.__getitem__, self.words.__getitem__ if self.marks else None, self.marks)
+
+    def decode_many(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
+        """The bytes of each text."""
+        raw = self.blob[places(self.sizes, ids)].tobytes()
+        ends = np.concatenate([[0], np.cumsum(self.sizes[ids])])[np.concatenate([[0], np.cumsum(counts)])].tolist()
+        return [raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
     def encode_bytes(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        if "  " in text or "\n " in text or _ODD_SPACE.search(text):  # white space may join what blanks part
-            return b"".join(map(self.pieces.__getitem__, self.pattern.findall(text)))
-        first, *rest = text.split(" ")
-        return b"".join([self.pieces[p] for p in self.pattern.findall(first)]) + b"".join(map(self.spaced.__getitem__, rest))
+        return self.encode_many(pa.array([text or ""]))[0].astype("<u4").tobytes()
 
     def encode(self, text: str | None) -> list[int]:
         return array("I", self.encode_bytes(text)).tolist()
@@ -175,12 +201,21 @@ def codec(path: str, pattern: str) -> Codec:
     return _CODECS[key]
 
 
+def _texts(column: pa.Array) -> pa.Array:
+    return pc.fill_null(column, "")
+
+
+def _split(ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
+    raw = ids.astype("<u4", copy=False).tobytes()
+    ends = [0, *(4 * np.cumsum(counts)).tolist()]
+    return [raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, ids binary): each text's ids as little-endian unsigned 32-bit integers."""
 
     def convert(batch):
-        c = codec(path, pattern)
-        return {"id": batch.column(0), "ids": [c.encode_bytes(t) for t in batch.column(1).to_pylist()]}
+        return {"id": batch.column(0), "ids": _split(*codec(path, pattern).encode_many(_texts(batch.column(1))))}
 
     out = per_batch(docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")), convert, "id long, ids binary")
     return out.withColumnRenamed("id", id_col)
@@ -202,13 +237,9 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
 
     def convert(batch):
         c = codec(path, pattern)
-        n, ids_digest, decoded_digest = [], [], []
-        for text in batch.column(1).to_pylist():
-            ids = c.encode_bytes(text)
-            n.append(len(ids) // 4)
-            ids_digest.append(hashlib.sha256(ids).hexdigest())
-            decoded_digest.append(hashlib.sha256(c.decode(array("I", ids))).hexdigest())
-        return {"id": batch.column(0), "n_tokens": n, "ids_sha256": ids_digest, "decoded_sha256": decoded_digest}
+        ids, counts = c.encode_many(_texts(batch.column(1)))
+        digest = lambda parts: [hashlib.sha256(p).hexdigest() for p in parts]
+        return {"id": batch.column(0), "n_tokens": counts, "ids_sha256": digest(_split(ids, counts)), "decoded_sha256": digest(c.decode_many(ids, counts))}
 
     out = per_batch(docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")), convert, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
     return out.withColumnRenamed("id", id_col)

@@ -27,11 +27,11 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fluxweave.llm.chunks import MARKS, gathered_ids, odd_texts
 from fluxweave.llm.common import filesystem, fresh_path, release, slices, staged
 
 MAGIC = b"DAC2"
@@ -46,8 +46,6 @@ SLICE_TOKENS, MEMO = 250_000, 300_000
 TEXT_BYTES = 8 << 20
 #: Letters of words and marks that are a piece of their own after one.
 LETTERS, MARKS = "[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]", ".,;:!?"
-#: Fixed value: white space other than blanks and line ends, as a class of the RE2 syntax.
-ODD_SPACE = r"[\t\v\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
 def pack(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray) -> bytes:
@@ -193,51 +191,8 @@ class Encoder:
         is cut before each blank; all others are encoded whole. Chunks are told apart in Arrow, each distinct one is
         looked up once, and ids are gathered by their numbers.
         """
-        n = len(texts)
-        if not n:
-            return np.empty(0, np.uint32), np.empty(0, np.int64)
-        whole = np.ones(n, dtype=bool)
-        if self.cuts:
-            odd = [pc.match_substring(texts, "  "), pc.match_substring(texts, "\n "), pc.match_substring_regex(texts, ODD_SPACE)]
-            odd += [pc.match_substring(texts, x) for x in self.special]
-            whole = np.logical_or.reduce([o.to_numpy(zero_copy_only=False) for o in odd])
-        chunks = pc.split_pattern(pc.if_else(pa.array(whole), "", texts), " ")
-        offsets = chunks.offsets.to_numpy()
-        first = offsets[:-1] - offsets[0]
-        values = chunks.flatten()
-        heads = [self.plain(texts[i].as_py()) if w else self.heads[h] for i, (w, h) in enumerate(zip(whole.tolist(), values.take(pa.array(first)).to_pylist(), strict=True))]
-        coded = values.dictionary_encode()
-        distinct, codes = coded.dictionary, coded.indices.to_numpy()
-        # A word, or a word and a mark: two entries. All others: one.
-        simple = pc.match_substring_regex(distinct, f"^{LETTERS}+[{MARKS}]?$").to_numpy(zero_copy_only=False)
-        words = distinct.filter(pa.array(simple))
-        stems = pc.utf8_rtrim(words, characters=MARKS)
-        marked = pc.not_equal(pc.binary_length(stems), pc.binary_length(words)).to_numpy(zero_copy_only=False)
-        ends = np.full(len(words), len(MARKS))
-        last = pc.utf8_slice_codeunits(words.filter(pa.array(marked)), start=-1)
-        ends[marked] = pc.index_in(last, pa.array(list(MARKS))).to_numpy(zero_copy_only=False)
-        stems = stems.dictionary_encode()
-        found = [*self.marks, b"", *map(self.words.__getitem__, stems.dictionary.to_pylist())]
-        one, two = np.empty(len(distinct) + n, dtype=np.int32), np.full(len(distinct) + n, len(MARKS), dtype=np.int32)
-        known = np.flatnonzero(simple)
-        one[known] = stems.indices.to_numpy() + len(MARKS) + 1
-        two[known] = ends
-        one[np.flatnonzero(~simple)] = np.arange(len(found), len(found) + len(distinct) - len(known))
-        found += map(self.chunks.__getitem__, distinct.filter(pa.array(~simple)).to_pylist())
-        one[len(distinct) :] = np.arange(len(found), len(found) + n)
-        found += heads
-        codes = codes.astype(np.int32)
-        codes[first] = np.arange(len(distinct), len(distinct) + n)
-        size = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
-        begin = np.cumsum(size) - size
-        ids = np.frombuffer(b"".join(found), "<u4")
-        entries = np.empty(2 * len(codes), dtype=np.int32)
-        entries[::2], entries[1::2] = one[codes], two[codes]
-        lengths = size[entries]
-        counts = np.add.reduceat(lengths, 2 * first)
-        at = np.repeat((begin[entries] - np.cumsum(lengths) + lengths).astype(np.int32), lengths)
-        at += np.arange(len(at), dtype=np.int32)
-        return ids[at], counts
+        whole = np.ones(len(texts), dtype=bool) if not self.cuts else odd_texts(texts, self.special)
+        return gathered_ids(texts, whole, self.plain, self.heads.__getitem__, self.chunks.__getitem__, self.words.__getitem__ if self.cuts else None, self.marks)
 
     def forget(self) -> None:
         for memo in (self.pieces, self.words, self.chunks, self.heads):

@@ -71,6 +71,24 @@ def test_bpe_compatibility_is_that_of_merging():
         assert codec.encode_piece(data) == merged(data)
 
 
+def test_bpe_of_other_patterns_and_whole_batches():
+    """Chunks of a pattern that is not known to keep words apart go through the pattern; batches decode to their texts."""
+    import pyarrow as pa
+    import tiktoken
+
+    ranks = bpe.load_ranks(P.path("byte_bpe_50k.tiktoken"))
+    texts = [t or "" for t in TEXTS] + SPECIAL + ["", "I'll we'd. x's, 'S", "a.b c!? ..."]
+    for pattern in (P.PATTERN, r""" ?[\p{L}.]+| ?\p{N}+| ?[^\s\p{L}\p{N}.]+|\s+(?!\S)|\s+"""):
+        codec = bpe.Codec(ranks, pattern)
+        assert (codec.marks is not None) == (pattern == P.PATTERN)
+        other = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        ids, counts = codec.encode_many(pa.array(texts))
+        at = np.concatenate([[0], np.cumsum(counts)])
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [other.encode_ordinary(t) for t in texts]
+        assert codec.decode_many(ids, counts) == [t.encode() for t in texts]
+    assert codec.encode_many(pa.array([], pa.string()))[0].tolist() == [] and codec.decode_many(np.empty(0, np.uint32), np.empty(0, np.int64)) == []
+
+
 def test_bpe_needs_every_byte():
     codec = bpe.Codec({b"a": 0, b"b": 1, b"ab": 2}, r".+")
     assert codec.encode_piece(b"aab") == [0, 2]
@@ -110,7 +128,7 @@ def test_sections_and_files(spark, monkeypatch):
     path, shared = P.path("byte_bpe_50k.json"), common.fresh_path(spark, "tokens")
     frame = docs(spark, [f"document {i} " * (1 + i % 7) for i in range(40)] + ["long word " * 200_000]).coalesce(1)
     with pytest.MonkeyPatch.context() as patch:
-        patch.setattr(tokenfile, "TASK_BYTES", 100)
+        patch.setattr(tokenfile, "TASK_BYTES", 100_000)
         manifest = tokenfile.write(frame, path, shared)
         starts = sorted(tuple(r) for r in manifest.select("start", "tokens", "documents").collect())
         assert len(starts) >= 1 and [s for s, _, _ in starts] == [0, *np.cumsum([t for _, t, _ in starts])[:-1].tolist()]
