@@ -60,14 +60,19 @@ def isi_histogram(train: DataFrame, start: int, width: int, bins: int, unit: str
     return inside.groupBy(unit, place.alias("bin")).agg(F.count("*").alias("n"))
 
 
-def mua_to_peak(train: DataFrame, duplicate: int, refractory: int, window: int, unit: str = "unit") -> DataFrame:
-    """(unit, mua_to_peak): first bin over highest bin of the interval histogram; null if bins would be empty."""
+def mua_to_peak(train: DataFrame, duplicate: int, refractory: int, window: int, unit: str = "unit", silent: bool = True) -> DataFrame:
+    """(unit, mua_to_peak): first bin over highest bin of the interval histogram; null if bins would be empty.
+
+    A unit without any interval in the histogram has 0, or no row if not ``silent``.
+    """
     width = refractory - duplicate
     units = train.select(unit).distinct()
     if width <= 0:
         return units.withColumn("mua_to_peak", F.lit(None).cast("double"))
     bins = max(1, (window - duplicate) // width)
     found = isi_histogram(train, duplicate, width, bins, unit).groupBy(unit).agg(F.max("n").alias("peak"), F.coalesce(F.max(F.when(F.col("bin") == 0, F.col("n"))), F.lit(0)).alias("low"))
+    if not silent:
+        return found.select(unit, F.try_divide("low", "peak").alias("mua_to_peak"))
     return units.join(found, unit, "left").select(unit, F.coalesce(F.try_divide("low", "peak"), F.lit(0.0)).alias("mua_to_peak"))
 
 

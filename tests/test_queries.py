@@ -47,6 +47,28 @@ def test_gives_rows(spark, name):
     assert len(found.columns) and (len(found) or name in MAY_BE_EMPTY)
 
 
+@pytest.fixture
+def against_sql(spark, tmp_path):
+    """Holds a query against its SQL on events (event_id, ts in seconds, user_id, event_type)."""
+
+    def run(name, rows):
+        table = pd.DataFrame([(i, pd.Timestamp("2024-01-01") + pd.Timedelta(seconds=s), u, t, float(i % 7), "{}") for i, s, u, t in rows], columns=["event_id", "ts", "user_id", "event_type", "value", "props"])
+        table.astype({"event_id": "Int64", "ts": "datetime64[us]", "user_id": "Int64"}).to_parquet(tmp_path / "events.parquet")
+        con = duckdb.connect()
+        con.execute(f"create view events as select * from '{tmp_path}/events.parquet'")
+        got, want = queries.QUERIES[name](spark, str(tmp_path)).toPandas(), con.execute(queries.ORACLES[name]).df()
+        assert canon(got) == canon(want) and len(want)
+        return got
+
+    return run
+
+
+def test_mua_to_peak_has_no_row_for_units_without_an_interval(against_sql):
+    """All intervals of 'b' are shorter than the histogram's first bin, as in dense tables; 'c' has one event; null is a unit."""
+    rows = [(k, 100 * k, 1, "a") for k in range(20)] + [(100 + k, 2 * k, 1, "b") for k in range(20)] + [(200, 7, 1, "c")] + [(300 + k, 400 * k, 1, None) for k in range(5)]
+    assert set(against_sql("fraction_mua_to_peak", rows)["unit"].fillna("-")) == {"a", "-"}
+
+
 MAY_BE_EMPTY = {"redundant_units", "overlap_links", "useful_noise_templates"}
 
 
