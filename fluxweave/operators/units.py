@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fluxweave.sources.stages import staged
+
 
 def filter_snr_mua(units: DataFrame, snr: float = 2.0, mua: float = 0.1, operator: str = "and") -> DataFrame:
     """'and' drops units with mua >= limit and snr <= limit, 'or' those with mua > limit or snr < limit.
@@ -126,15 +128,27 @@ def overlap_links(ratios: DataFrame, least: float = 0.75) -> DataFrame:
 def chains(units: DataFrame, links: DataFrame, n_segments: int) -> DataFrame:
     """(seg, unit, root_seg, root_unit): units followed over links from each segment to the next.
 
-    Pointers are doubled, so log2(n_segments) joins settle every chain.
+    Pointers are doubled, so log2(n_segments) joins at most settle every chain. Each round is written, so that plans stay
+    small, and takes only the units whose pointer may not be at its root yet. Links of units that are not there are none.
     """
-    back = links.select((F.col("seg") + 1).alias("seg"), F.col("unit_2").alias("unit"), F.col("seg").alias("p_seg"), F.col("unit_1").alias("p_unit"))
-    at = units.select("seg", "unit").distinct().join(back, ["seg", "unit"], "left")
-    at = at.select("seg", "unit", F.coalesce("p_seg", "seg").alias("p_seg"), F.coalesce("p_unit", "unit").alias("p_unit"))
-    for _ in range(max(1, (n_segments - 1).bit_length())):
-        up = at.select(F.col("seg").alias("p_seg"), F.col("unit").alias("p_unit"), F.col("p_seg").alias("g_seg"), F.col("p_unit").alias("g_unit"))
-        at = at.join(up, ["p_seg", "p_unit"]).select("seg", "unit", F.col("g_seg").alias("p_seg"), F.col("g_unit").alias("p_unit"))
-    return at.select("seg", "unit", F.col("p_seg").alias("root_seg"), F.col("p_unit").alias("root_unit"))
+    there = units.select("seg", "unit").distinct()
+    known = links.join(there.withColumnRenamed("unit", "unit_1"), ["seg", "unit_1"], "left_semi")
+    back = known.select((F.col("seg") + 1).alias("seg"), F.col("unit_2").alias("unit"), F.col("seg").alias("p_seg"), F.col("unit_1").alias("p_unit"))
+    at = staged(there.join(back, ["seg", "unit"], "left"), "chains")
+    settled = at.where("p_seg is null").select("seg", "unit", F.col("seg").alias("p_seg"), F.col("unit").alias("p_unit"))
+    late = at.where("p_seg is not null").withColumn("done", F.lit(False))  # all that have a pointer, as it is by now
+    left = late
+    for _ in range((n_segments - 1).bit_length() + 1):
+        if left.isEmpty():
+            break
+        up = late.select(F.col("seg").alias("p_seg"), F.col("unit").alias("p_unit"), F.col("p_seg").alias("g_seg"), F.col("p_unit").alias("g_unit"), F.col("done").alias("g_done"))
+        moved = left.drop("done").join(up, ["p_seg", "p_unit"], "left")  # a pointer without a pointer of its own is at a root
+        root = F.col("g_done").isNull()
+        moved = moved.select("seg", "unit", F.when(root, F.col("p_seg")).otherwise(F.col("g_seg")).alias("p_seg"), F.when(root, F.col("p_unit")).otherwise(F.col("g_unit")).alias("p_unit"), F.coalesce("g_done", F.lit(True)).alias("done"))
+        moved = staged(moved, "chains")
+        late = late.where("done").unionByName(moved)
+        left = moved.where("not done")
+    return settled.unionByName(late.drop("done")).select("seg", "unit", F.col("p_seg").alias("root_seg"), F.col("p_unit").alias("root_unit"))
 
 
 def confusion_by_neuron(confusion: DataFrame, neuron_of: DataFrame) -> DataFrame:

@@ -88,6 +88,16 @@ def test_redundant_units_and_chains(spark):
     assert ids(units.chains(k, links, 6).where("unit = 7"), "seg", "root_seg") == [(0, 0), (1, 0), (2, 0), (3, 3), (4, 3), (5, 3)]
 
 
+def test_plans_of_chains_stay_small(spark):
+    """One unit in all of 64 segments, one with gaps, one that changes its name: no plan that doubles with each join."""
+    k = [(s, 1) for s in range(64)] + [(s, 2) for s in range(64) if s % 10] + [(s, 100 + s) for s in range(64)]
+    links = [(s, 1, 1) for s in range(63)] + [(s, 2, 2) for s in range(63) if s % 10 and (s + 1) % 10] + [(s, 100 + s, 101 + s) for s in range(63)]
+    found = units.chains(spark.createDataFrame(k, "seg int, unit long"), spark.createDataFrame(links, "seg int, unit_1 long, unit_2 long"), 64)
+    want = [(s, 1, 0, 1) for s in range(64)] + [(s, 2, s // 10 * 10 + 1, 2) for s in range(64) if s % 10] + [(s, 100 + s, 0, 100) for s in range(64)]
+    assert ids(found, "seg", "unit", "root_seg", "root_unit") == sorted(want)
+    assert found._jdf.queryExecution().optimizedPlan().collectLeaves().size() < 20
+
+
 def test_templates(spark):
     rows = [(1, 0, [1.0, 5.0, 2.0, 0.0]), (1, 1, [3.0, 7.0, 2.0, 0.0]), (2, 2, [0.0, 0.0, 0.0, 9.0])]
     clips = spark.createDataFrame(rows, "unit long, event long, clip array<double>")
