@@ -260,3 +260,58 @@ def stitch_pair(first: dict[int, np.ndarray], second: dict[int, np.ndarray], cha
                 right.discard(b)
                 links.append((a, b))
     return links
+
+
+def coincident_pairs(left: tuple, right: tuple, span: int, limit: float | None, chunk: int = 128, window: int = 2048) -> tuple[np.ndarray, ...]:
+    """(a, b, expected, actual, delta_max) of all pairs a < b of a unit of ``left`` and one of ``right`` on another channel
+    that share a bin at a lag of at most ``span``; with ``limit`` of those with actual >= limit * delta_max + expected.
+
+    A side is (ids, channels, sizes, unit, bin): the distinct bins, ascending, each with its unit's place in ids. Lag by
+    lag a correlogram counts the bins of a that, moved by the lag, are bins of b. The product of two 0/1 matrices, units
+    by bins, counts them for all pairs; its axis are the bins of ``left``, in windows. Sums stay below 2 ** 24, so single
+    precision is exact within a window.
+    """
+    (ids, channels, sizes, unit, at), (other_ids, other_channels, other_sizes, other_unit, other_at) = left, right
+    lags = np.arange(-span, span + 1)
+    axis = np.unique(at)
+    edges = [axis[k : k + window] for k in range(0, len(axis), window)]
+
+    def rows_of(cols: np.ndarray) -> np.ndarray:
+        lo, hi = np.searchsorted(at, cols[0]), np.searchsorted(at, cols[-1], side="right")
+        dense = np.zeros((len(ids), len(cols)), dtype=np.float32)
+        dense[unit[lo:hi], np.searchsorted(cols, at[lo:hi])] = 1
+        return dense
+
+    alone = rows_of(edges[0]) if len(edges) == 1 else None
+    found = []
+    for first in range(0, len(other_ids), chunk):
+        some = np.flatnonzero((other_unit >= first) & (other_unit < first + chunk))
+        y, who, n = other_at[some], other_unit[some] - first, min(chunk, len(other_ids) - first)
+        counts = np.zeros((len(ids), len(lags) * n), dtype=np.int32)
+        for cols in edges:
+            lo, hi = np.searchsorted(y, cols[0] - span), np.searchsorted(y, cols[-1] + span, side="right")
+            if lo == hi:
+                continue
+            moved = np.zeros((len(cols), len(lags), n), dtype=np.float32)
+            for k, lag in enumerate(lags):
+                x = y[lo:hi] - lag
+                place = np.minimum(np.searchsorted(cols, x), len(cols) - 1)
+                hit = cols[place] == x
+                moved[place[hit], k, who[lo:hi][hit]] = 1
+            counts += ((rows_of(cols) if alone is None else alone) @ moved.reshape(len(cols), -1)).astype(np.int32)
+        counts = counts.reshape(len(ids), len(lags), n)
+        part = slice(first, first + n)
+        asked = (ids[:, None] < other_ids[None, part]) & (channels[:, None] != other_channels[None, part])
+        sides = np.maximum(counts[:, span - 1], counts[:, span + 1])
+        if limit is not None and limit > 0:  # a pair of no less than its sides; without a bin at lag zero its step is above zero
+            asked &= (counts[:, span] >= sides) & (counts[:, span] > 0)
+        else:
+            asked &= counts.any(axis=1)
+        i, j = np.nonzero(asked)
+        steps = np.abs(np.diff(counts[i, :, j], axis=1))
+        steps[:, span - 1 : span + 1] = 0  # into and out of lag zero
+        least = np.minimum(sizes[i], other_sizes[first + j]).astype(np.float64)
+        expected, actual, delta = sides[i, j] / least, counts[i, span, j] / least, steps.max(axis=1, initial=0) / least
+        keep = np.ones(len(i), dtype=bool) if limit is None else actual >= limit * delta + expected
+        found.append((ids[i[keep]], other_ids[first + j[keep]], expected[keep], actual[keep], delta[keep]))
+    return tuple(np.concatenate([f[k] for f in found]) if found else np.zeros(0) for k in range(5))

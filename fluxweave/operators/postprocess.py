@@ -85,30 +85,51 @@ def stitch_segments(events: DataFrame, links: DataFrame, n_segments: int) -> Dat
     return events.join(rooted.join(labels, ["channel", "root"]).drop("root"), ["seg", "channel", "unit"])
 
 
-def coincidences(events: DataFrame, overlap_samples: int, neighbors: DataFrame | None = None) -> DataFrame:
+def coincidences(events: DataFrame, overlap_samples: int, neighbors: DataFrame | None = None, limit: float | None = None) -> DataFrame:
     """(seg, unit_1, unit_2, expected, actual, delta_max): of units (numbered through a segment) on different channels,
-    shares of coincident bins at lag zero and one, and the largest step of the correlogram. Bins meet by equi-joins."""
+    shares of coincident bins at lag zero and one, and the largest step of the correlogram. With ``limit`` only the pairs
+    that coincide beyond chance (``units.redundant_pairs``) are given out.
+
+    Units go into blocks of bounded numbers of units and events; two blocks of a segment meet in one group, where one
+    matrix product counts all of their pairs. A unit's bins are packed, in sections, before they are dealt out.
+    """
     width = max(1, 2 * overlap_samples)
     named = events.select(F.struct("seg", "channel", "unit").alias("unit"), F.col("sample").alias("idx"))
     sizes = named.groupBy("unit").agg(F.count("*").alias("n")).withColumn("id", F.row_number().over(Window.orderBy("unit")))  # one row a unit
-    sizes = staged(sizes, "sizes")
-    # Pairs are counted by numbers of units, which are small beside the units' names.
-    bins = trains.bins(named, width).join(sizes.select("unit", "id"), "unit").select("id", F.col("unit.seg").alias("seg"), F.col("unit.channel").alias("channel"), "bin")
-    lags = F.explode(F.sequence(F.lit(-10), F.lit(10)))
-    left = bins.select(F.col("id").alias("a"), "seg", F.col("channel").alias("c1"), "bin", lags.alias("lag")).withColumn("bin", F.col("bin") + F.col("lag"))
-    right = bins.select(F.col("id").alias("b"), "seg", F.col("channel").alias("c2"), "bin")
-    hits = left.join(right, ["seg", "bin"]).where("a < b and c1 <> c2")
+    whole = Window.partitionBy("unit.seg")
+    before = F.sum("n").over(whole.orderBy("id")) - F.col("n")
+    per = F.least(F.greatest(F.ceil(F.count("*").over(whole) / 8), F.lit(64)), F.lit(2048))
+    sizes = sizes.select("unit", "id", "n", F.floor((F.row_number().over(whole.orderBy("id")) - 1) / per).alias("p"), F.floor(before / (1 << 22)).alias("q"))
+    sizes = sizes.select("unit", "id", "n", (F.dense_rank().over(whole.orderBy("p", "q")) - 1).alias("block"))
+    sizes = staged(sizes.withColumn("blocks", F.max("block").over(whole) + 1), "sizes")
+    groups = sizes.groupBy("unit.seg").agg(F.max("blocks").alias("b")).agg(F.sum(F.col("b") * (F.col("b") + 1) / 2)).first()[0]
+    named_ids = sizes.where("unit.seg is not null and unit.channel is not null")
+    bins = trains.bins(named.where("idx is not null"), width).join(named_ids, "unit")
+    packed = bins.groupBy("unit.seg", "unit.channel", "id", "n", "block", "blocks", F.shiftright("bin", 20).alias("section")).agg(F.collect_list(F.col("bin").bitwiseAND((1 << 20) - 1).cast("int")).alias("bins"))
+    other = F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))).alias("other")
+    dealt = packed.select("seg", "channel", "id", "n", "block", "section", "bins", other).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other")
+    tasks = int(min(max(groups or 1, 1), 4096))
+
+    def side(pdf: pd.DataFrame) -> tuple:
+        named = pdf.drop_duplicates("id").sort_values("id")
+        ids = named["id"].to_numpy(np.int64)
+        unit = np.repeat(np.searchsorted(ids, pdf["id"].to_numpy()), pdf["bins"].map(len).to_numpy())
+        at = np.concatenate([(int(s) << 20) + np.asarray(x, dtype=np.int64) for s, x in zip(pdf["section"], pdf["bins"], strict=True)])
+        order = np.argsort(at, kind="stable")
+        return ids, named["channel"].to_numpy(), named["n"].to_numpy(), unit[order], at[order]
+
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        sides = [pdf[pdf["block"] == key[k]] for k in (1, 2)]
+        found = consolidation.coincident_pairs(*map(side, sides), 10, limit) if all(map(len, sides)) else [[]] * 5
+        return pd.DataFrame(dict(zip(("a", "b", "expected", "actual", "delta_max"), found, strict=True)))
+
+    out = dealt.repartition(tasks, "seg", "i", "j").groupBy("seg", "i", "j").applyInPandas(run, "a long, b long, expected double, actual double, delta_max double")
+    names = lambda k: sizes.select(F.col("id").cast("long").alias(k), F.col("unit").alias(f"u{k}"))
+    out = out.join(names("a"), "a").join(names("b"), "b")
     if neighbors is not None:
-        hits = hits.join(F.broadcast(neighbors.select(F.col("channel").alias("c1"), F.col("neighbor").alias("c2"))), ["c1", "c2"], "left_semi")
-    counts = hits.groupBy("a", "b", "lag").agg(F.count("*").cast("int").alias("n")).groupBy("a", "b").agg(F.map_from_entries(F.collect_list(F.struct("lag", "n"))).alias("by"))
-    line = F.transform(F.sequence(F.lit(-10), F.lit(10)), lambda k: F.coalesce(F.try_element_at(F.col("by"), k), F.lit(0)))
-    counts = counts.withColumn("c", line)
-    step = F.array_max(F.transform(F.sequence(F.lit(1), F.lit(20)), lambda k: F.when((k == 10) | (k == 11), 0).otherwise(F.abs(F.get("c", k) - F.get("c", k - 1)))))
-    names = lambda k: sizes.select(F.col("id").alias(k), F.col("unit").alias(f"u{k}"), F.col("n").alias(f"n{k}"))
-    out = counts.join(names("a"), "a").join(names("b"), "b")
-    n = F.least("na", "nb")
-    return out.select(F.col("ua.seg").alias("seg"), F.struct("ua.channel", "ua.unit").alias("unit_1"), F.struct("ub.channel", "ub.unit").alias("unit_2"),
-                      (F.greatest(F.get("c", F.lit(9)), F.get("c", F.lit(11))) / n).alias("expected"), (F.get("c", F.lit(10)) / n).alias("actual"), (step / n).alias("delta_max"))
+        near = neighbors.select(F.col("channel").alias("c1"), F.col("neighbor").alias("c2"))
+        out = out.join(F.broadcast(near), (F.col("ua.channel") == F.col("c1")) & (F.col("ub.channel") == F.col("c2")), "left_semi")
+    return out.select(F.col("ua.seg").alias("seg"), F.struct("ua.channel", "ua.unit").alias("unit_1"), F.struct("ub.channel", "ub.unit").alias("unit_2"), "expected", "actual", "delta_max")
 
 
 def union_contamination(events: DataFrame, pairs: DataFrame, fs: float, tolerance: int, refractory: int) -> DataFrame:
@@ -197,7 +218,7 @@ def across_channels(events: DataFrame, quality: DataFrame, links: DataFrame, seg
     where these leave them free, over coincident events in the time that neighboring segments share."""
     if len(segments) > 1 and segments[1][0] >= segments[0][1]:
         raise ValueError("segments must share time to be joined across channels")
-    gone = redundant_by_segment(events, quality, coincidences(events, half_clip), limit, (fs, min(half_clip, refractory - 1), refractory))
+    gone = redundant_by_segment(events, quality, coincidences(events, half_clip, limit=limit), limit, (fs, min(half_clip, refractory - 1), refractory))
     kept = staged(events.join(staged(gone, "gone"), ["seg", "channel", "unit"], "left_anti"), "kept")
     there = kept.select("seg", "channel", "unit").distinct()
     alive = links.join(there.withColumnRenamed("unit", "unit_1"), ["seg", "channel", "unit_1"], "left_semi")

@@ -70,40 +70,60 @@ def drop_redundant(units: DataFrame, pairs: DataFrame, keys: tuple[str, ...] = (
     """
 
     def settle(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        info = {int(r.unit): r for r in left.itertuples()}
-        quality = {u: (0.0 if np.isnan(r.mua) else (1 - r.mua)) * r.snr * r.n for u, r in info.items()}
-        clean = {u: (0.0 if np.isnan(r.mua) else (1 - r.mua)) * r.snr for u, r in info.items()}
-        partners: dict[int, set[int]] = {u: {u} for u in info}
-        links = []
-        for r in right.itertuples():
-            a, b = int(r.unit_1), int(r.unit_2)
-            partners[a].add(b)
-            partners[b].add(a)
-            links.append((r.ratio, a, b, r.delta_max, r.union_mua))
+        left = left.sort_values("unit")
+        names = left["unit"].to_numpy(np.int64)
+        mua, snr, n = (left[c].to_numpy(np.float64) for c in ("mua", "snr", "n"))
+        clean = np.where(np.isnan(mua), 0.0, 1 - mua) * snr
+        quality = clean * n
+        if not all(right[c].isin(names).all() for c in ("unit_1", "unit_2")):
+            raise ValueError("a pair has a unit that is not there")
+        first, second = (np.searchsorted(names, right[c].to_numpy(np.int64)).astype(np.int32) for c in ("unit_1", "unit_2"))
+        ends = np.concatenate([first, second])[np.argsort(np.concatenate([second, first]), kind="stable")]
+        starts = np.searchsorted(np.sort(np.concatenate([second, first])), np.arange(len(names) + 1))
+        there = np.ones(len(names), dtype=bool)
+
+        def partners(x: int) -> np.ndarray:
+            """Those left of x and the units it is paired with."""
+            found = ends[starts[x] : starts[x + 1]]
+            return np.append(np.unique(found[there[found] & (found != x)]), x)
+
+        def pairs_left():
+            """Places of the pairs in the order of the rule, without those whose unit is gone by the time."""
+            order = np.lexsort((second, first, -ratios))
+            order = order[~(ratios[order] <= 0)]
+            for at in range(0, len(order), 1 << 14):
+                part = order[at : at + (1 << 14)]
+                for k in part[there[first[part]] & there[second[part]]].tolist():
+                    if there[first[k]] and there[second[k]]:
+                        yield k
+
         gone: list[int] = []
-        for ratio, a, b, delta, union in sorted(links, key=lambda x: (-x[0], x[1], x[2])):
-            if ratio <= 0 or a in gone or b in gone:
-                continue
-            ma, mb = info[a].mua, info[b].mua
+        ratios, deltas, unions = (right[c].to_numpy(np.float64) for c in ("ratio", "delta_max", "union_mua"))
+        for k in pairs_left():
+            a, b = int(first[k]), int(second[k])
+            ma, mb = mua[a], mua[b]
             if np.isnan(ma) and np.isnan(mb):
-                worse = b if info[a].snr * info[a].n > info[b].snr * info[b].n else a
+                worse = b if snr[a] * n[a] > snr[b] * n[b] else a
             elif np.isnan(ma) or np.isnan(mb):
                 worse = a if np.isnan(ma) else b
             else:
-                lose = {x: max((quality[p] for p in partners[x] - partners[y]), default=quality[x]) - quality[x] for x, y in ((a, b), (b, a))}
+                by = {a: partners(a), b: partners(b)}
+                lose = {}
+                for x, y in ((a, b), (b, a)):
+                    own = quality[by[x][np.isin(by[x], by[y], invert=True)]]
+                    lose[x] = (own.max() if len(own) else quality[x]) - quality[x]
                 if lose[a] != lose[b]:
                     worse = a if lose[a] > lose[b] else b
                 else:
                     worse = b if quality[a] > quality[b] else a
                     other = a if worse == b else b
                     if clean[worse] > clean[other]:
-                        if len(partners[worse]) < len(partners[other]):
+                        if len(by[worse]) < len(by[other]):
                             worse = other
-                        elif union is not None and not np.isnan(union) and union > min(ma, mb) + delta and union > max(ma, mb):
+                        elif not np.isnan(unions[k]) and unions[k] > min(ma, mb) + deltas[k] and unions[k] > max(ma, mb):
                             worse = other
-            gone.append(worse)
-            for p in partners[worse] - {worse}:
-                partners[p].discard(worse)
+            there[worse] = False
+            gone.append(int(names[worse]))
         return pd.DataFrame({**{k: [v] * len(gone) for k, v in zip(keys, key, strict=True)}, "unit": gone})
 
     kinds = ", ".join([*(f"{k} {units.schema[k].dataType.simpleString()}" for k in keys), "unit long"])

@@ -363,6 +363,63 @@ def test_coincidences_equal_those_of_pairs(spark):
         assert np.allclose(values, (want.expected, want.actual, want.delta_max)), (a, b)
 
 
+def test_coincidences_of_blocks_equal_plain_loops(spark):
+    """More units than a block, two segments, bins before zero and far apart, events without sample or channel; all values equal."""
+    rng = np.random.default_rng(19)
+    trains_of = {(s, c, u): np.unique(np.concatenate([rng.integers(-3_000, 3_000, int(rng.integers(1, 60))), rng.integers(0, 40, 3) * 1_000_003])) for s in (0, 1) for c in range(30) for u in range(3 if s == 0 else 1)}
+    trains_of[0, 29, 1] = trains_of[0, 3, 0]
+    data = [(s, c, u, int(x)) for (s, c, u), at in trains_of.items() for x in at] + [(0, 5, 0, None), (0, None, 1, 7), (0, 5, None, 7)]
+    trains_of[0, 5, None] = np.array([7])
+    events = spark.createDataFrame(data, "seg int, channel int, unit long, sample long")
+    bins = {k: np.unique(np.floor((at + 5) / 10).astype(int)) for k, at in trains_of.items()}
+    n = {k: len(at) + (k == (0, 5, 0)) for k, at in trains_of.items()}
+    want = {}
+    for a, x in bins.items():
+        for b, y in bins.items():
+            if a[0] == b[0] and a[1] < b[1]:
+                c = [len(np.intersect1d(x + lag, y)) for lag in range(-10, 11)]
+                if any(c):
+                    step = max(abs(c[k] - c[k - 1]) for k in range(1, 21) if k not in (10, 11))
+                    least = min(n[a], n[b])
+                    want[a, b] = (max(c[9], c[11]) / least, c[10] / least, step / least)
+    found = lambda **more: {((s, *a), (s, *b)): (e, x, d) for s, a, b, e, x, d in rows(postprocess.coincidences(events, 5, **more), "seg", "unit_1", "unit_2", "expected", "actual", "delta_max")}
+    assert found() == want
+    for limit in (0.0, 0.5, 5.0):
+        beyond = {k: v for k, v in want.items() if v[1] >= limit * v[2] + v[0]}
+        assert beyond and found(limit=limit) == beyond
+    near = spark.createDataFrame([(3, 29), (29, 4)], "channel int, neighbor int")
+    assert found(neighbors=near) == {k: v for k, v in want.items() if (k[0][1], k[1][1]) == (3, 29)}
+
+
+def test_windows_and_chunks_count_alike():
+    from fluxweave.functions import consolidation
+
+    rng = np.random.default_rng(20)
+
+    def side(first, n):
+        pairs = np.unique(np.stack([rng.integers(-200, 200, 900), rng.integers(0, n, 900)], axis=1), axis=0)
+        return np.arange(first, first + n), np.arange(first, first + n) % 5, np.bincount(pairs[:, 1], minlength=n) + 1, pairs[:, 1], pairs[:, 0]
+
+    left, right = side(0, 20), side(20, 13)
+    whole = sorted(zip(*consolidation.coincident_pairs(left, right, 10, None), strict=True))
+    assert len(whole) > 150
+    for chunk, window in ((5, 2048), (128, 7), (4, 33)):
+        assert sorted(zip(*consolidation.coincident_pairs(left, right, 10, None, chunk, window), strict=True)) == whole
+
+
+def test_dense_trains_do_not_meet_event_by_event(spark):
+    """300 units with an event in each of 1,500 bins have 1.4 billion coincidences, which took minutes as rows."""
+    import time
+
+    from fluxweave.operators import units
+
+    events = spark.range(300 * 1500).select(F.lit(0).alias("seg"), (F.col("id") % 300).cast("int").alias("channel"), F.lit(1).cast("long").alias("unit"), (F.floor(F.col("id") / 300) * 10).alias("sample"))
+    began = time.time()
+    found = units.redundant_pairs(postprocess.coincidences(events, 5), 0.5).select("expected", "actual", "delta_max").distinct().collect()
+    assert [tuple(r) for r in found] == [(1499 / 1500, 1.0, 1 / 1500)]
+    assert time.time() - began < 60
+
+
 def test_contamination_of_joined_trains(spark):
     from fluxweave.operators import units
 

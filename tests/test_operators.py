@@ -88,6 +88,36 @@ def test_redundant_units_and_chains(spark):
     assert ids(units.chains(k, links, 6).where("unit = 7"), "seg", "root_seg") == [(0, 0), (1, 0), (2, 0), (3, 3), (4, 3), (5, 3)]
 
 
+def test_redundant_units_by_plain_sets(spark):
+    """Many pairs of equal ratio, against the rule written with sets."""
+    rng = np.random.default_rng(5)
+    info = {u: (float("nan") if u % 9 == 0 else int(rng.integers(0, 3)) / 10, int(rng.integers(1, 4)) / 2, int(rng.integers(1, 4))) for u in range(3, 63)}
+    links = [(int(a), int(b), int(rng.integers(0, 5)) / 4, 0.05, float(rng.choice([np.nan, 0.05, 0.4]))) for a in info for b in info if a < b and rng.random() < 0.2]
+    clean = {u: (0.0 if np.isnan(m) else 1 - m) * s for u, (m, s, _) in info.items()}
+    quality = {u: clean[u] * info[u][2] for u in info}
+    partners = {u: {u} | {b for a, b, *_ in links if a == u} | {a for a, b, *_ in links if b == u} for u in info}
+    gone = set()
+    for a, b, ratio, delta, union in sorted(links, key=lambda x: (-x[2], x[0], x[1])):
+        if ratio <= 0 or gone & {a, b}:
+            continue
+        (ma, sa, na), (mb, sb, nb) = info[a], info[b]
+        if np.isnan(ma) or np.isnan(mb):
+            worse = (b if sa * na > sb * nb else a) if np.isnan(ma) and np.isnan(mb) else a if np.isnan(ma) else b
+        else:
+            lose = {x: max((quality[p] for p in partners[x] - partners[y]), default=quality[x]) - quality[x] for x, y in ((a, b), (b, a))}
+            worse = (a if lose[a] > lose[b] else b) if lose[a] != lose[b] else b if quality[a] > quality[b] else a
+            other = a if worse == b else b
+            if lose[a] == lose[b] and clean[worse] > clean[other]:
+                if len(partners[worse]) < len(partners[other]) or union > min(ma, mb) + delta and union > max(ma, mb):
+                    worse = other
+        gone.add(worse)
+        for p in partners[worse] - {worse}:
+            partners[p].discard(worse)
+    u = spark.createDataFrame([(0, k, *v) for k, v in info.items()], "seg int, unit long, mua double, snr double, n long")
+    p = spark.createDataFrame([(0, *x) for x in links], "seg int, unit_1 long, unit_2 long, ratio double, delta_max double, union_mua double")
+    assert [k for (k,) in ids(units.drop_redundant(u, p), "unit")] == sorted(gone)
+
+
 def test_plans_of_chains_stay_small(spark):
     """One unit in all of 64 segments, one with gaps, one that changes its name: no plan that doubles with each join."""
     k = [(s, 1) for s in range(64)] + [(s, 2) for s in range(64) if s % 10] + [(s, 100 + s) for s in range(64)]
