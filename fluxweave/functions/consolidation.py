@@ -3,6 +3,7 @@ stitching of two. NumPy on groups that the number of units and the events of a s
 
 from __future__ import annotations
 
+import heapq
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -315,3 +316,211 @@ def coincident_pairs(left: tuple, right: tuple, span: int, limit: float | None,
         keep = np.ones(len(i), dtype=bool) if limit is None else actual >= limit * delta + expected
         found.append((ids[i[keep]], other_ids[first + j[keep]], expected[keep], actual[keep], delta[keep]))
     return tuple(np.concatenate([f[k] for f in found]) if found else np.zeros(0) for k in range(5))
+
+
+def worse_of(a: int, b: int, mua: np.ndarray, snr: np.ndarray, n: np.ndarray, lost, partners, mixed) -> int:
+    """Which of a redundant pair goes, by the rule of ``units.drop_redundant``. ``lost()`` gives the quality of each one's
+    best partner that the other does not share less its own (0 without one), ``partners(x)`` the number of x's partners,
+    ``mixed()`` whether the joined train is dirtier than either."""
+    if np.isnan(mua[a]) and np.isnan(mua[b]):
+        return b if snr[a] * n[a] > snr[b] * n[b] else a
+    if np.isnan(mua[a]) or np.isnan(mua[b]):
+        return a if np.isnan(mua[a]) else b
+    lose_a, lose_b = lost()
+    if lose_a != lose_b:
+        return a if lose_a > lose_b else b
+    clean = {x: (1 - mua[x]) * snr[x] for x in (a, b)}
+    worse, other = (b, a) if clean[a] * n[a] > clean[b] * n[b] else (a, b)
+    if clean[worse] > clean[other] and (partners(worse) < partners(other) or mixed()):
+        return other
+    return worse
+
+
+def packed_bins(bins: list[np.ndarray], first: int, words: int, span: int = 10) -> np.ndarray:
+    """Trains as bits, one row of 64-bit words each; bin ``first`` is bit ``span``, so that moves by ``span`` lose none."""
+    dense = np.zeros((len(bins), 64 * words), dtype=np.uint8)
+    dense[np.repeat(np.arange(len(bins)), [len(x) for x in bins]), np.concatenate(bins) - first + span] = 1
+    return np.packbits(dense, axis=1, bitorder="little").view(np.uint64)
+
+
+def moved_bits(bits: np.ndarray, span: int = 10) -> np.ndarray:
+    """(rows, 2 * span + 1, words): trains moved by each lag from -span to span."""
+    by = np.arange(1, span + 1, dtype=np.uint64)[None, :, None]
+    back = np.uint64(64) - by
+    x, none = bits[:, None, :], np.zeros((len(bits), 1, 1), dtype=np.uint64)
+    later = (x << by) | (np.concatenate([none, x[:, :, :-1]], axis=2) >> back)
+    sooner = (x >> by) | (np.concatenate([x[:, :, 1:], none], axis=2) << back)
+    return np.concatenate([sooner[:, ::-1], x, later], axis=1)
+
+
+def beyond_chance(moved: np.ndarray, other: np.ndarray, least: np.ndarray, limit: float) -> np.ndarray:
+    """Which trains of ``moved`` (``moved_bits``) coincide with those of ``other`` beyond chance (``units.redundant_pairs``)."""
+    span = moved.shape[1] // 2
+    c = np.bitwise_count(moved & other[:, None, :]).sum(axis=2, dtype=np.int32)
+    steps = np.abs(np.diff(c, axis=1))
+    steps[:, span - 1 : span + 1] = 0  # into and out of lag zero
+    sides = np.maximum(c[:, span - 1], c[:, span + 1])
+    return (c[:, span] > 0) & (c[:, span] / least >= limit * (steps.max(axis=1) / least) + sides / least)
+
+
+def highest_pairs(left: tuple, right: tuple, limit: float, floor: float, most: int | None, same: np.ndarray | None = None, span: int = 10, chunk: int = 256, window: int = 1 << 10) -> tuple:
+    """(i, j, ratio, floor): pairs of a train of ``left`` and one of ``right``, each (sizes, bits), that coincide beyond
+    chance, with a share of coincident bins of at least the floor given back. That is ``floor``, or higher if there are
+    more than ``most`` pairs: a share is given out with all of its pairs or not at all, the highest in any case. ``same``
+    says that both sides are one, where i <= j, and which of its trains are paired with themselves.
+
+    Bins at lag zero are counted by matrix products, exact in single precision; what is left is judged by its bits.
+    """
+    (sizes, bits), (other_sizes, other_bits) = left, right
+    words = bits.shape[1]
+    edges = [(k, min(words, k + window // 64)) for k in range(0, words, window // 64)]
+    dense = lambda x, lo, hi: np.unpackbits(np.ascontiguousarray(x[:, lo:hi]).view(np.uint8), axis=1, bitorder="little").astype(np.float32)
+    turned = [np.ascontiguousarray(x) for x in moved_bits(other_bits, 1).swapaxes(0, 1)] if floor == 0 else [None, other_bits, None]
+    ready = {k: dense(x, 0, words) for k, x in enumerate(turned) if x is not None} if len(edges) == 1 else {}
+
+    def shared(part: np.ndarray, k: int) -> np.ndarray:
+        """Common bins of the trains of ``part`` and those of the other side moved by k - 1; windows without any are left out."""
+        counts = np.zeros((len(part), len(other_bits)), dtype=np.float32)
+        for lo, hi in edges:
+            if part[:, lo:hi].any() and turned[k][:, lo:hi].any():
+                counts += dense(part, lo, hi) @ (ready[k] if ready else dense(turned[k], lo, hi)).T
+        return counts
+
+    batch = max(64, (1 << 22) // ((2 * span + 1) * words))
+    found, held, bar = [], 0, floor
+    for first in range(0, len(bits), chunk):
+        part = bits[first : first + chunk]
+        at_zero = shared(part, 1)
+        asked = at_zero > 0
+        if bar > 0:
+            low = bar * (1 - 1e-6)
+            asked &= (at_zero >= (low * sizes[first : first + chunk]).astype(np.float32)[:, None] - 1e-3) | (at_zero >= (low * other_sizes).astype(np.float32)[None, :] - 1e-3)
+        else:  # most pairs have a higher side
+            asked &= (shared(part, 0) <= at_zero) & (shared(part, 2) <= at_zero)
+        if same is not None:
+            own = np.arange(len(part))
+            asked &= (own + first)[:, None] <= np.arange(len(other_bits))[None, :]
+            asked[own, own + first] &= same[first : first + chunk]
+        i, j = np.nonzero(asked)
+        least = np.minimum(sizes[first + i], other_sizes[j]).astype(np.float64)
+        ratio = at_zero[i, j] / least
+        take = np.flatnonzero(ratio >= bar)
+        i, j, least, ratio = i[take], j[take], least[take], ratio[take]
+        moved = moved_bits(part, span) if len(part) * (2 * span + 1) * words <= 1 << 24 else None
+        keep = np.zeros(len(i), dtype=bool)
+        for lo in range(0, len(i), batch):
+            some = slice(lo, lo + batch)
+            shifts = moved_bits(part[i[some]], span) if moved is None else moved[i[some]]
+            keep[some] = beyond_chance(shifts, other_bits[j[some]], least[some], limit)
+        found.append((first + i[keep], j[keep], ratio[keep]))
+        held += int(keep.sum())
+        if most is not None and held > 2 * most:
+            found, bar = _highest(found, most, bar)
+            held = len(found[0][2])
+    if most is not None and held > most:
+        found, bar = _highest(found, most, bar)
+    i, j, ratio = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, dtype=(np.int64, np.int64, np.float64)[k]) for k in range(3))
+    return i, j, ratio, bar
+
+
+def _highest(found: list, most: int, bar: float) -> tuple[list, float]:
+    i, j, ratio = (np.concatenate([f[k] for f in found]) for k in range(3))
+    cut = np.partition(ratio, len(ratio) - most - 1)[len(ratio) - most - 1]  # the highest share that does not fit
+    above = ratio[ratio > cut]
+    bar = max(bar, float(above.min()) if len(above) else float(cut))
+    keep = ratio >= bar
+    return [(i[keep], j[keep], ratio[keep])], bar
+
+
+def settle_highest(kind: np.ndarray, channel: np.ndarray, sizes: np.ndarray, bits: np.ndarray, mua: np.ndarray, snr: np.ndarray, n: np.ndarray, edges: tuple, limit: float, span: int = 10) -> list[int]:
+    """Places of the units that go, by the rule of ``units.drop_redundant``, as far as the pairs ``edges`` (kinds a and b,
+    ratio) lead; units are in the order of their names, those of a kind have the same train and size.
+
+    Partners are looked up when a pair is settled: units come in the order of their quality, and the first that is a
+    partner of one and not of the other is its best. So a pair costs a few correlograms, not one for each partner.
+    """
+    clean = np.where(np.isnan(mua), 0.0, 1 - mua) * snr
+    quality = clean * n
+    order = np.lexsort((np.arange(len(n)), -quality, ~np.isnan(quality)))  # a maximum is NaN if any value is
+    there = np.ones(len(n), dtype=bool)
+    names, of = np.unique(kind, return_inverse=True)
+    alive = np.bincount(of)
+    members = np.split(np.argsort(of, kind="stable"), np.cumsum(alive)[:-1])
+    gone: list[int] = []
+    dead = 0
+
+    def partners(x: int, some: np.ndarray, moved: np.ndarray | None = None) -> np.ndarray:
+        moved = moved_bits(bits[x : x + 1], span) if moved is None else moved
+        near = beyond_chance(moved, bits[some], np.minimum(sizes[x], sizes[some]), limit)
+        return near & (channel[some] != channel[x]) & (some != x)
+
+    def lost(a: int, b: int) -> tuple[float, float]:
+        best: list[int | None] = [None, None]
+        if kind[a] == kind[b]:  # of equal trains only units on the other's channel are not shared
+            pools = [order[channel[order] == channel[y]] if shared_channels else order[:0] for y in (b, a)]
+            for k, (x, y) in enumerate(((a, b), (b, a))):
+                some = pools[k][there[pools[k]] & (pools[k] != y)]
+                hit = some[partners(x, some) & ~partners(y, some)] if len(some) else some
+                best[k] = int(hit[0]) if len(hit) else None
+        else:
+            shifts = [moved_bits(bits[x : x + 1], span) for x in (a, b)]
+            at, step = 0, 64
+            while at < len(order) and None in best:
+                some = order[at : at + step]
+                some = some[there[some] & (some != a) & (some != b)]
+                at, step = at + step, min(2 * step, max(64, (1 << 20) // bits.shape[1] // 21))
+                near = [partners(x, some, s) for x, s in zip((a, b), shifts, strict=True)] if len(some) else []
+                for k in range(2 if near else 0):
+                    hit = np.flatnonzero(near[k] & ~near[1 - k])
+                    if best[k] is None and len(hit):
+                        best[k] = int(some[hit[0]])
+        return tuple((quality[x] if p is None else quality[p]) - quality[x] for x, p in zip((a, b), best, strict=True))
+
+    def count(x: int) -> int:
+        moved = moved_bits(bits[x : x + 1], span)
+        some = order[there[order]]
+        step = max(64, (1 << 22) // bits.shape[1] // 21)
+        return 1 + sum(int(partners(x, some[k : k + step], moved).sum()) for k in range(0, len(some), step))
+
+    shared_channels = len(np.unique(channel)) < len(channel)
+    ka, kb, ratios = np.searchsorted(names, edges[0]), np.searchsorted(names, edges[1]), edges[2]
+    sort = np.argsort(-ratios, kind="stable")
+    sort = sort[ratios[sort] > 0]
+    ends = np.flatnonzero(np.append(np.diff(ratios[sort]) != 0, True)) + 1 if len(sort) else []
+    begin = 0
+    for end in ends:
+        level, begin = sort[begin:end], end
+        x, y = ka[level], kb[level]
+        asked = (alive[x] > 0) & (alive[y] > np.where(x == y, 1, 0))
+        x, y = x[asked], y[asked]
+        if not len(x):
+            continue
+        apart = x != y
+        x, y = np.concatenate([x, y[apart]]), np.concatenate([y, x[apart]])
+        by_first = np.argsort(x, kind="stable")
+        x, y = x[by_first], y[by_first]
+        firsts = np.sort(np.concatenate([members[k] for k in np.unique(x)]))
+        for first in firsts[there[firsts]].tolist():
+            if not there[first]:
+                continue
+            lo, hi = np.searchsorted(x, of[first]), np.searchsorted(x, of[first], side="right")
+            lists = [_after(members[k], first) for k in y[lo:hi][alive[y[lo:hi]] > 0].tolist()]
+            for second in lists[0] if len(lists) == 1 else heapq.merge(*lists):
+                if not there[second] or channel[first] == channel[second]:
+                    continue
+                worse = worse_of(first, second, mua, snr, n, lambda a=first, b=second: lost(a, b), count, lambda: False)
+                there[worse] = False
+                alive[of[worse]] -= 1
+                gone.append(worse)
+                dead += 1
+                if 8 * dead > len(order):
+                    order, dead = order[there[order]], 0
+                if worse == first:
+                    break
+    return gone
+
+
+def _after(places: np.ndarray, first: int, step: int = 1024):
+    """The places beyond ``first``, one by one."""
+    for k in range(int(np.searchsorted(places, first, side="right")), len(places), step):
+        yield from places[k : k + step].tolist()

@@ -5,6 +5,8 @@ Events are (seg, channel, unit, sample), with ``clip`` on all channels where a s
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -166,6 +168,116 @@ def redundant_by_segment(events: DataFrame, quality: DataFrame, pairs: DataFrame
     return numbered.join(gone.withColumnRenamed("unit", "id"), ["seg", "id"]).select("seg", "channel", "unit")
 
 
+#: Bytes of the bits of a segment's trains up to which it is settled by rounds; pairs that a round writes for a unit, and
+#: for a segment; trains from which on a round takes only pairs of high ratio; trains of the sample that tells how high.
+MOST_BITS, WANTED, MOST_PAIRS, FEW_TRAINS, SAMPLE = 1 << 28, 16, 1 << 22, 4096, 1024
+
+
+def redundant_by_rounds(events: DataFrame, quality: DataFrame, overlap_samples: int, limit: float = 5.0) -> DataFrame:
+    """``redundant_by_segment`` of all ``coincidences`` and without ``union``, with no table of all pairs.
+
+    Pairs are settled from the highest ratio on, and each one settled takes a unit. So a round finds the pairs of a
+    ratio above some floor by products of blocks of bits, settles them in one task a segment, which looks up the partners
+    of a pair's units when it comes to it, and leaves few units to the next round; the last one has no floor. A sample of
+    trains tells the floor, which bears on the number of rounds, not on what they return. Equal trains are one kind: kinds
+    are paired, not their units. Segments of long trains, beyond ``MOST_BITS``, take the table of pairs.
+    """
+    if limit <= 0:
+        return redundant_by_segment(events, quality, coincidences(events, overlap_samples, limit=limit), limit)
+    names, span = ["seg", "channel", "unit"], 10
+    number = F.col("mua").cast("double")
+    order = Window.partitionBy("seg").orderBy("channel", "unit")
+    judged = quality.where("seg is not null and channel is not null").select(*names, F.coalesce(number, F.lit(float("nan"))).alias("mua"), F.col("snr").cast("double").alias("snr"), F.col("n").cast("long").alias("n"))
+    judged = judged.withColumn("id", (F.row_number().over(order) - 1).cast("long")).withColumn("place", F.dense_rank().over(Window.partitionBy("seg").orderBy("channel")).cast("long"))
+    named = events.where("seg is not null and channel is not null").select(F.struct(*names).alias("unit"), F.col("sample").alias("idx"))
+    sizes = named.groupBy("unit").agg(F.count("*").alias("size"))
+    seen = trains.bins(named.where("idx is not null"), max(1, 2 * overlap_samples)).groupBy("unit").agg(F.array_sort(F.collect_list("bin")).alias("bins"))
+    seen = seen.join(sizes, "unit").select(F.col("unit.seg").alias("seg"), F.col("unit.channel").alias("channel"), F.col("unit.unit").alias("unit"), "size", "bins")
+    same = functools.reduce(lambda a, b: a & b, [F.col(f"s.{k}").eqNullSafe(F.col(f"q.{k}")) for k in names])
+    table = seen.alias("s").join(judged.alias("q"), same).select("s.seg", "q.id", "q.channel", "q.unit", "place", "size", "bins", "mua", "snr", "n")
+    table = staged(table, "trains")
+    ends = table.groupBy("seg").agg(F.min(F.col("bins")[0]).alias("lo"), F.max(F.element_at("bins", -1)).alias("hi"), F.count("*").alias("trains"))
+    ends = staged(ends.withColumn("words", F.ceil((F.col("hi") - F.col("lo") + 2 * span + 1) / 64)), "ends")  # one row a segment
+    if not ends.where(F.col("trains") * F.col("words") * 8 > MOST_BITS).isEmpty():
+        return redundant_by_segment(events, quality, coincidences(events, overlap_samples, limit=limit), limit)
+
+    def pack(batches):
+        for pdf in batches:
+            bits = []
+            for at, (bins, lo, words) in enumerate(zip(pdf["bins"], pdf["lo"], pdf["words"], strict=True)):
+                bits.append(consolidation.packed_bins([bins], int(lo), int(words), span).tobytes())
+            yield pdf.drop(columns=["bins", "lo"]).assign(bits=bits)
+
+    kinds = f"seg {table.schema['seg'].dataType.simpleString()}, id long, place long, size long, mua double, snr double, n long, words long, bits binary"
+    packed = table.join(ends.select("seg", "lo", "words"), "seg").select("seg", "id", "place", "size", "mua", "snr", "n", "words", "bins", "lo").mapInPandas(pack, kinds)
+    alike = lambda rows: rows.withColumn("lead", F.min("id").over(Window.partitionBy("seg", "kind"))).withColumn("units", F.count("*").over(Window.partitionBy("seg", "kind")))
+    left = staged(alike(packed.withColumn("kind", F.min("id").over(Window.partitionBy("seg", "size", "bits")))), "packed")
+    seg = f"seg {table.schema['seg'].dataType.simpleString()}"
+    trains_of = lambda pdf: (pdf["size"].to_numpy(np.int64), np.frombuffer(b"".join(pdf["bits"]), dtype=np.uint64).reshape(len(pdf), -1))
+
+    def floor_of(factor: int):
+        def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+            all_of = int(pdf["trains"].iloc[0])
+            if all_of <= FEW_TRAINS:
+                return pd.DataFrame({"seg": [key[0]], "floor": [0.0]})
+            some = trains_of(pdf)
+            ratio = consolidation.highest_pairs(some, some, limit, 0.0, None, np.zeros(len(pdf), dtype=bool))[2]
+            scale, wanted = (all_of / len(pdf)) ** 2, WANTED * factor * all_of
+            few = len(ratio) * scale <= min(wanted, MOST_PAIRS)
+            return pd.DataFrame({"seg": [key[0]], "floor": [0.0 if few else float(np.sort(ratio)[-min(len(ratio), max(1, int(min(wanted, MOST_PAIRS) / scale)))])]})
+
+        return run
+
+    def block(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("kind")
+        one = pdf.iloc[:1][["seg", "block", "blocks", "words", "floor"]]
+        return one.assign(kinds=pdf["kind"].to_numpy(np.int64).tobytes(), sizes=pdf["size"].to_numpy(np.int64).tobytes(), many=(pdf["units"] > 1).to_numpy().tobytes(), bits=b"".join(pdf["bits"]))
+
+    def pair(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        first, second = (pdf[pdf["block"] == key[k]].iloc[0] for k in (1, 2))
+        read = lambda r: (np.frombuffer(r["sizes"], dtype=np.int64), np.frombuffer(r["bits"], dtype=np.uint64).reshape(-1, int(r["words"])))
+        groups, same = int(first["blocks"] * (first["blocks"] + 1) // 2), np.frombuffer(first["many"], dtype=bool) if key[1] == key[2] else None
+        i, j, ratio, floor = consolidation.highest_pairs(read(first), read(second), limit, float(first["floor"]), int(first["factor"]) * max(1 << 12, 2 * MOST_PAIRS // groups), same)
+        a, z = (np.frombuffer(r["kinds"], dtype=np.int64)[at] for r, at in ((first, i), (second, j)))
+        return pd.DataFrame({"seg": [key[0]], "a": [a.tobytes()], "b": [z.tobytes()], "ratio": [ratio.tobytes()], "floor": [floor]})
+
+    def settle(key, units_: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        units_ = units_.sort_values("id")
+        a, b = (np.frombuffer(b"".join(found[k]), dtype=np.int64) for k in ("a", "b"))
+        ratio = np.frombuffer(b"".join(found["ratio"]), dtype=np.float64)
+        whole = ratio >= found["floor"].max() if len(found) else slice(0, 0)
+        column = lambda k: units_[k].to_numpy()
+        size, bits = trains_of(units_)
+        gone = consolidation.settle_highest(column("kind"), column("place"), size, bits, column("mua"), column("snr"), column("n").astype(np.float64), (a[whole], b[whole], ratio[whole]), limit)
+        return pd.DataFrame({"seg": [key[0]] * len(gone), "id": column("id")[gone]})
+
+    rounds, factor = [], 1
+    while True:
+        whole = Window.partitionBy("seg")
+        one = left.where("id = lead").select("seg", "kind", "size", "words", "bits", "units", F.row_number().over(whole.orderBy("kind")).alias("r"), F.count("*").over(whole).alias("trains"))
+        step = F.when(F.col("trains") > FEW_TRAINS, F.greatest(F.floor(F.col("trains") / SAMPLE), F.lit(1))).otherwise(F.col("trains"))
+        floors = one.where(F.col("r") % step == 0)
+        floors = staged(floors.groupBy("seg").applyInPandas(floor_of(factor), f"{seg}, floor double"), "floors")
+        per = F.least(F.greatest(F.ceil(F.col("trains") / 8), F.lit(64)), F.lit(2048), F.greatest(F.floor(F.lit(1 << 19) / F.col("words")), F.lit(1)))
+        one = one.join(floors, "seg").withColumn("block", F.floor((F.col("r") - 1) / per)).withColumn("blocks", F.ceil(F.col("trains") / per))
+        blocks = one.groupBy("seg", "block").applyInPandas(block, f"{seg}, block long, blocks long, words long, floor double, kinds binary, sizes binary, many binary, bits binary")
+        blocks = staged(blocks, "blocks")
+        groups = blocks.groupBy("seg").agg(F.count("*").alias("b")).agg(F.sum(F.col("b") * (F.col("b") + 1) / 2)).first()[0]
+        other = F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))).alias("other")
+        dealt = blocks.select("*", other).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other")
+        dealt = dealt.withColumn("factor", F.lit(factor)).repartition(int(min(max(groups or 1, 1), 192)), "seg", "i", "j")
+        found = staged(dealt.groupBy("seg", "i", "j").applyInPandas(pair, f"{seg}, a binary, b binary, ratio binary, floor double"), "pairs")
+        gone = staged(left.groupBy("seg").cogroup(found.groupBy("seg")).applyInPandas(settle, f"{seg}, id long"), "gone")
+        rounds.append(gone)
+        if found.where("floor > 0").isEmpty():
+            break
+        before = left.count()
+        left = staged(alike(left.drop("lead", "units").join(gone, ["seg", "id"], "left_anti")), "left")
+        factor = factor if 4 * left.count() < 3 * before else 4 * factor
+    gone = functools.reduce(DataFrame.unionByName, rounds)
+    return table.join(gone, ["seg", "id"]).select(*names)
+
+
 def unlinked_overlaps(events: DataFrame, links: DataFrame, segments: list[tuple[int, int]], tolerance: int, neighbors: DataFrame | None = None, least: float = 0.75) -> DataFrame:
     """(seg, unit_1, unit_2), units as structs (channel, unit): links by coincident events in the time that two segments
     share, of units that ``links`` (same form) leave free and whose channels are neighbors."""

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fluxweave.functions import consolidation
 from fluxweave.sources.stages import staged
 
 
@@ -73,8 +74,7 @@ def drop_redundant(units: DataFrame, pairs: DataFrame, keys: tuple[str, ...] = (
         left = left.sort_values("unit")
         names = left["unit"].to_numpy(np.int64)
         mua, snr, n = (left[c].to_numpy(np.float64) for c in ("mua", "snr", "n"))
-        clean = np.where(np.isnan(mua), 0.0, 1 - mua) * snr
-        quality = clean * n
+        quality = np.where(np.isnan(mua), 0.0, 1 - mua) * snr * n
         if not all(right[c].isin(names).all() for c in ("unit_1", "unit_2")):
             raise ValueError("a pair has a unit that is not there")
         first, second = (np.searchsorted(names, right[c].to_numpy(np.int64)).astype(np.int32) for c in ("unit_1", "unit_2"))
@@ -101,27 +101,15 @@ def drop_redundant(units: DataFrame, pairs: DataFrame, keys: tuple[str, ...] = (
         ratios, deltas, unions = (right[c].to_numpy(np.float64) for c in ("ratio", "delta_max", "union_mua"))
         for k in pairs_left():
             a, b = int(first[k]), int(second[k])
-            ma, mb = mua[a], mua[b]
-            if np.isnan(ma) and np.isnan(mb):
-                worse = b if snr[a] * n[a] > snr[b] * n[b] else a
-            elif np.isnan(ma) or np.isnan(mb):
-                worse = a if np.isnan(ma) else b
-            else:
-                by = {a: partners(a), b: partners(b)}
-                lose = {}
-                for x, y in ((a, b), (b, a)):
-                    own = quality[by[x][np.isin(by[x], by[y], invert=True)]]
-                    lose[x] = (own.max() if len(own) else quality[x]) - quality[x]
-                if lose[a] != lose[b]:
-                    worse = a if lose[a] > lose[b] else b
-                else:
-                    worse = b if quality[a] > quality[b] else a
-                    other = a if worse == b else b
-                    if clean[worse] > clean[other]:
-                        if len(by[worse]) < len(by[other]):
-                            worse = other
-                        elif not np.isnan(unions[k]) and unions[k] > min(ma, mb) + deltas[k] and unions[k] > max(ma, mb):
-                            worse = other
+            by = {}
+
+            def lost(a=a, b=b, by=by) -> tuple:
+                by |= {a: partners(a), b: partners(b)}
+                own = [quality[by[x][np.isin(by[x], by[y], invert=True)]] for x, y in ((a, b), (b, a))]
+                return tuple((q.max() if len(q) else quality[x]) - quality[x] for x, q in zip((a, b), own, strict=True))
+
+            mixed = lambda a=a, b=b, k=k: not np.isnan(unions[k]) and unions[k] > min(mua[a], mua[b]) + deltas[k] and unions[k] > max(mua[a], mua[b])
+            worse = consolidation.worse_of(a, b, mua, snr, n, lost, lambda x, by=by: len(by[x]), mixed)
             there[worse] = False
             gone.append(int(names[worse]))
         return pd.DataFrame({**{k: [v] * len(gone) for k, v in zip(keys, key, strict=True)}, "unit": gone})

@@ -504,3 +504,72 @@ def test_pursuit_of_a_synthetic_recording():
         hit = np.mean([np.abs(at - t).min() <= 10 for t in truth[u]])
         false = np.mean([np.abs(truth[u] - s).min() > 10 for s in at])
         assert hit > 0.95 and false < 0.05, (u, hit, false)
+
+
+def redundant_case(spark, seed, units, segments=2, copies=3, channels=7):
+    """Events and quality of units with copies, channels of several units, units without name, events without sample, bins
+    before zero, and values that tie."""
+    rng = np.random.default_rng(seed)
+    data, quality = [], []
+    for s in range(segments):
+        known = []
+        for k in range(units // (s + 1)):
+            name, c = (None if k == 5 else k), (None if k == 7 else int(rng.integers(0, channels)))
+            at = known[int(rng.integers(0, len(known)))] if known and rng.random() < copies / 10 else np.sort(rng.integers(-400, 1_600, int(rng.integers(1, 90))))
+            known.append(at)
+            data += [(s, c, name, int(x)) for x in at] + [(s, c, name, None)] * (k % 50 == 3)
+            if k % 31 != 30:
+                quality.append((s, c, name, None if k % 9 == 0 else int(rng.integers(0, 3)) / 10, None if k == 2 else int(rng.integers(1, 4)) / 2, int(rng.integers(1, 4))))
+    e = spark.createDataFrame(data, "seg int, channel int, unit long, sample long")
+    return e, spark.createDataFrame(quality, "seg int, channel int, unit long, mua double, snr double, n long")
+
+
+@pytest.mark.parametrize(("few", "wanted", "most"), [(4096, 16, 1 << 22), (20, 1, 1 << 22), (20, 2, 60)])
+def test_rounds_drop_what_the_table_of_pairs_drops(spark, monkeypatch, few, wanted, most):
+    for name, value in (("FEW_TRAINS", few), ("WANTED", wanted), ("MOST_PAIRS", most), ("SAMPLE", 40)):
+        monkeypatch.setattr(postprocess, name, value)
+    key = lambda r: str(tuple(r))
+    for seed, limit in ((1, 0.5), (2, 0.1)):
+        events, quality = redundant_case(spark, seed, 150)
+        want = postprocess.redundant_by_segment(events, quality, postprocess.coincidences(events, 3, limit=limit), limit)
+        found = sorted(postprocess.redundant_by_rounds(events, quality, 3, limit).collect(), key=key)
+        assert found == sorted(want.select("seg", "channel", "unit").collect(), key=key) and len({r.seg for r in found}) == 2 and len(found) > 60
+
+
+def test_long_trains_take_the_table_of_pairs(spark, monkeypatch):
+    events, quality = redundant_case(spark, 3, 60)
+    short = sorted(map(str, postprocess.redundant_by_rounds(events, quality, 3, 0.1).collect()))
+    monkeypatch.setattr(postprocess, "MOST_BITS", 100)
+    assert short and sorted(map(str, postprocess.redundant_by_rounds(events, quality, 3, 0.1).collect())) == short
+
+
+def test_a_share_is_given_out_whole():
+    """Of windows and few wanted pairs all the pairs down to a share are given, as of all pairs."""
+    rng = np.random.default_rng(4)
+    bins = [np.unique(rng.integers(0, 500, int(rng.integers(3, 40)))) for _ in range(90)]
+    bits, sizes = consolidation.packed_bins(bins, 0, 9), np.array([len(b) for b in bins])
+    want = {}
+    for i, x in enumerate(bins):
+        for j, y in enumerate(bins):
+            c = [len(np.intersect1d(x + lag, y)) for lag in range(-10, 11)]
+            least, step = min(sizes[i], sizes[j]), max(abs(c[k] - c[k - 1]) for k in range(1, 21) if k not in (10, 11))
+            if c[10] and c[10] / least >= 0.5 * (step / least) + max(c[9], c[11]) / least:
+                want[i, j] = c[10] / least
+    side, none = (sizes, bits), np.zeros(90, dtype=bool)
+    for window in (64, 1 << 10):
+        i, j, ratio, floor = consolidation.highest_pairs(side, side, 0.5, 0.0, None, chunk=7, window=window)
+        assert dict(zip(zip(i.tolist(), j.tolist(), strict=True), ratio.tolist(), strict=True)) == want and floor == 0
+        for most in (1, 30, 200):
+            i, j, ratio, floor = consolidation.highest_pairs(side, side, 0.5, 0.05, most, none, chunk=7, window=window)
+            upper = {k: v for k, v in want.items() if k[0] < k[1] and v >= floor}
+            assert dict(zip(zip(i.tolist(), j.tolist(), strict=True), ratio.tolist(), strict=True)) == upper and floor > 0.05
+            assert len(upper) <= most or len(set(upper.values())) == 1
+
+
+def test_many_copies_make_no_table_of_pairs(spark):
+    """20,000 units with five trains have 200 million pairs beyond chance, which took memory as rows; of each train one stays."""
+    ids = spark.range(20_000).select(F.lit(0).alias("seg"), F.col("id").cast("int").alias("channel"), F.col("id").alias("unit"))
+    events = ids.select("*", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("k")).select("seg", "channel", "unit", ((F.col("k") * 5 + F.col("unit") % 5) * 1000 + F.col("k") ** 3).cast("long").alias("sample"))
+    quality = ids.select("*", F.lit(0.1).alias("mua"), (F.col("unit") / 20_000).alias("snr"), F.lit(10).alias("n"))
+    gone = {r.unit for r in postprocess.redundant_by_rounds(events, quality, 5, 0.5).collect()}
+    assert set(range(20_000)) - gone == {19_995, 19_996, 19_997, 19_998, 19_999}

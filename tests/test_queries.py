@@ -4,8 +4,10 @@ import glob
 import os
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from fluxweave import queries
 
@@ -88,3 +90,22 @@ def test_redundant_units_judges_users_of_every_id(spark, tmp_path):
         (tmp_path / f"events{k}.parquet").rename(tmp_path / str(k) / "events.parquet")
         found.append(sorted(r["unit"] - move for r in queries.QUERIES["redundant_units"](spark, str(tmp_path / str(k))).collect()))
     assert found[0] and found[0] == found[1]
+
+
+def test_redundant_units_needs_no_table_of_pairs(spark, tmp_path, monkeypatch):
+    """Pairs beyond chance grow with the square of the users, 324 million at 90,000; each that is settled takes a user."""
+    from fluxweave.operators import postprocess, units
+
+    rng = np.random.default_rng(6)
+    rows = [(i, pd.Timestamp("2024-01-01") + pd.Timedelta(minutes=int(rng.integers(0, 20_000))), int(rng.integers(0, 80)), "view", float(rng.integers(0, 50)), "{}") for i in range(3_000)]
+    pd.DataFrame(rows, columns=["event_id", "ts", "user_id", "event_type", "value", "props"]).astype({"ts": "datetime64[us]"}).to_parquet(tmp_path / "events.parquet")
+    e = queries.views.train(spark, str(tmp_path), "user_id").select(F.lit(0).alias("seg"), F.col("unit").cast("int").alias("channel"), "unit", F.col("idx").alias("sample"))
+    quality = queries._units(spark, str(tmp_path)).select(F.lit(0).alias("seg"), F.col("unit").cast("int").alias("channel"), "unit", "mua", "snr", "n")
+    want = sorted(r.unit for r in postprocess.redundant_by_segment(e, quality, postprocess.coincidences(e, 3600, limit=0.5), 0.5).collect())
+
+    def refuse(*_, **__):
+        raise AssertionError("a table of pairs")
+
+    monkeypatch.setattr(postprocess, "coincidences", refuse)
+    monkeypatch.setattr(units, "drop_redundant", refuse)
+    assert want and sorted(r.unit for r in queries.QUERIES["redundant_units"](spark, str(tmp_path)).collect()) == want
